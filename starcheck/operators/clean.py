@@ -4,15 +4,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcheck.functions.labels import rating_to_label
+from starcheck.functions.once import once
 from starcheck.functions.text import clean_text, strip
 
 
 def with_clean_text(df: DataFrame, null_text: str = "drop") -> DataFrame:
     """Clean the text column. With null_text="literal" a missing text becomes the word nan."""
-    text = F.col("text")
+    text = F.col("_text")
     if null_text == "literal":
         text = F.coalesce(text, F.lit("nan"))
-    return df.withColumn("text", clean_text(text))
+    columns = df.columns
+    return once(df.withColumnRenamed("text", "_text"), text=clean_text(text)).select(*columns)
 
 
 def non_empty(df: DataFrame) -> DataFrame:

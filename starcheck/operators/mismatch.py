@@ -12,6 +12,7 @@ from starcheck.functions.lexicon import (
     positive_hits,
 )
 from starcheck.functions.numeric import round_half_even_exact
+from starcheck.functions.once import once
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -24,7 +25,7 @@ def lexicon_classifier(df: DataFrame) -> DataFrame:
     """Add predicted_sentiment, confidence and the hits they rest on."""
     negative = F.size("hits") - F.col("positive_hits")
     return (
-        df.withColumn("hits", lexicon_hits(F.col("text")))
+        once(df, hits=lexicon_hits(F.col("text")))
         .withColumn("positive_hits", positive_hits(F.col("hits")))
         .withColumns(
             {
@@ -88,17 +89,21 @@ def score_mismatch(
     Adds predicted_sentiment, sentiment_confidence, mismatch_score, is_flagged and reason, and
     keeps what the classifier added. The flag looks at the rounded score.
     """
-    return (
+    weighed = (
         df.transform(classifier)
         .transform(with_expected_range, ranges, strict)
         .withColumn("distance", range_distance(F.col("rating"), F.col("low"), F.col("high")))
-        .withColumn(
-            "mismatch_score",
-            round_half_even_exact(F.col("distance") * F.col("confidence"), 3),
+        .withColumn("_product", F.col("distance") * F.col("confidence"))
+    )
+    return (
+        once(
+            weighed,
+            mismatch_score=round_half_even_exact(F.col("_product"), 3),
+            sentiment_confidence=round_half_even_exact(F.col("confidence"), 3),
         )
+        .drop("_product")
         .withColumns(
             {
-                "sentiment_confidence": round_half_even_exact(F.col("confidence"), 3),
                 "is_flagged": F.col("mismatch_score") >= F.lit(threshold),
                 "reason": reason_sentence(
                     F.col("distance"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starcheck.functions.labels import LABEL_NAMES, label_name
+from starcheck.functions.once import once
 from starcheck.operators.evaluate import class_weights
 from starcheck.operators.explain import CONTRIBUTIONS, TOP_TOKENS
 from starcheck.operators.features import MAX_TERMS, MIN_TEXTS, fit_features, words_and_pairs
@@ -63,9 +64,9 @@ def load_model(path: str) -> PipelineModel:
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Add prediction (class id, first of equal scores) and confidence (its probability)."""
-    scored = model.transform(df).withColumn("_scores", vector_to_array("probability"))
+    scored = once(model.transform(df), _scores=vector_to_array("probability"))
     return (
-        scored.withColumn("confidence", F.array_max("_scores"))
+        once(scored, confidence=F.array_max("_scores"))
         .withColumn("prediction", (F.array_position("_scores", F.col("confidence")) - 1).cast("int"))
         .select(*df.columns, "prediction", "confidence")
     )

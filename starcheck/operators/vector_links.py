@@ -183,8 +183,9 @@ class VectorNeighbours:
             raise ValueError("eps must be in [0, 1)")
         self.spark, self.eps, self.block = items.sparkSession, eps, block
         items = items.select(*ITEM, "copies", F.col("signature").alias("vector"))
-        # A bounded number of rows, chosen by hash.
-        chosen = items.orderBy(F.xxhash64(*ITEM), *ITEM).limit(pivots).select("vector").toPandas()
+        # One pivot per half block, up to a fixed number; chosen by hash.
+        wanted = min(pivots, max(1, 2 * items.count() // block))
+        chosen = items.orderBy(F.xxhash64(*ITEM), *ITEM).limit(wanted).select("vector").toPandas()
         self.pivots = _unit_rows(chosen["vector"]) if len(chosen) else np.zeros((1, 1))
         self.placed = cut(_with_cells(items, self.pivots))
 

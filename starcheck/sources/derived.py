@@ -7,6 +7,8 @@ its key, in one narrow projection.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starcheck.functions.once import once
+
 POSITIVE = [
     "Excellent little thing, I love it and it works",
     "Great, easy and fast setup, though the box was damaged",
@@ -65,7 +67,10 @@ def reviews_from_orders(orders: DataFrame) -> DataFrame:
         pick(NOUNS, (key * 3571 + 7) % 10039 % 5),
         pick(FILLERS, (key * 2903 + 1) % 10061 % 4),
     )
-    return (
+    text = F.when(kind == "templated", templated).otherwise(
+        F.concat(snippet, F.lit(" ("), F.col("product_category"), F.lit(")"))
+    )
+    drawn = (
         orders.select(
             key,
             (key % 25).alias("_m"),
@@ -82,6 +87,9 @@ def reviews_from_orders(orders: DataFrame) -> DataFrame:
             .otherwise(genuine_sentiment),
         )
         .withColumn("product_category", pick(CATEGORIES, (key * 6271 + 5) % 10009 % 8))
+    )
+    return (
+        once(drawn, text=text)
         .select(
             key.alias("review_id"),
             "batch_id",
@@ -92,9 +100,7 @@ def reviews_from_orders(orders: DataFrame) -> DataFrame:
             .otherwise(1 + (q + m) % 2)
             .cast("int")
             .alias("rating"),
-            F.when(kind == "templated", templated)
-            .otherwise(F.concat(snippet, F.lit(" ("), F.col("product_category"), F.lit(")")))
-            .alias("text"),
+            "text",
             "true_sentiment",
             (kind == "mismatch").alias("is_mismatch"),
             (kind == "templated").alias("is_templated_fake"),
@@ -124,12 +130,14 @@ def requests_from_reviews(reviews: DataFrame) -> DataFrame:
         item(1, F.when(key % 5 == 0, "").otherwise(F.col("text")), F.lit(None).cast("string")),
         item(2, F.when(key % 7 == 0, "   ").otherwise(F.col("text")), F.concat(review_id, F.lit("-c"))),
     )
-    plain = F.transform(
+    chosen = F.transform(
         F.filter(items, lambda x: x["slot"] < key % 4),
         lambda x: F.struct(x["rating"].alias("rating"), x["text"].alias("text"), x["review_id"].alias("review_id")),
     )
-    body = F.when(key % 4 == 1, F.to_json(F.get(plain, F.lit(0)))).otherwise(
-        F.to_json(F.struct(plain.alias("reviews")))
+    body = F.when(key % 4 == 1, F.to_json(F.get("reviews", F.lit(0)))).otherwise(
+        F.to_json(F.struct("reviews"))
+    )
+    length = F.when(key % 97 == 0, 9).otherwise(F.length("body"))
+    return once(once(reviews, reviews=chosen), body=body).select(
+        key.alias("batch_id"), F.substring("body", F.lit(1), length).alias("body")
     )
-    broken = F.when(key % 97 == 0, F.substring(body, 1, 9)).otherwise(body)
-    return reviews.select(key.alias("batch_id"), broken.alias("body"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starcheck.functions.once import once
 from starcheck.schema import REQUEST, REQUEST_BODY
 
 
@@ -11,7 +12,7 @@ def _parsed(df: DataFrame, body: str) -> DataFrame:
     parsed = F.from_json(F.col(body), REQUEST_BODY)
     one = F.struct(*[F.col(f"_body.{name}").alias(name) for name in REQUEST.fieldNames()])
     is_one = F.col("_body.rating").isNotNull() | F.col("_body.text").isNotNull()
-    return df.withColumn("_body", parsed).withColumn(
+    return once(df, _body=parsed).withColumn(
         "_reviews", F.coalesce(F.col("_body.reviews"), F.when(is_one, F.array(one)))
     )
 
