@@ -7,7 +7,7 @@ and components from a recursive query. They are only meant for small data.
 
 from starcheck.functions.lexicon import NEGATIVE, POSITIVE
 from starcheck.sources import derived
-from starcheck.sources.generator import PRIME
+from starcheck.sources.generator import FACTOR, PRIME
 
 
 def _values(items: list) -> str:
@@ -149,7 +149,7 @@ classes AS (
 
 
 def _draw(number: str, stream: int, choices: int) -> str:
-    return f"((({number}) % {PRIME}) * {48271 + 2 * stream} + {7919 * stream}) % {PRIME} % {choices}"
+    return f"((({number}) % {PRIME}) * {FACTOR + 104_729 * stream} + {7919 * stream}) % {PRIME} % {choices}"
 
 
 GENERATED = f"""{LISTS},

@@ -17,12 +17,13 @@ from starcheck.sources.derived import (
 )
 
 PRIME = 2_147_483_647
+FACTOR = 1_103_515_245
 FAKES_PER_TEMPLATE = 4
 
 
 def draw(number: Column, stream: int, choices: int) -> Column:
-    """A repeatable choice from 0..choices-1 for a row number; streams are independent."""
-    return ((number % PRIME) * (48271 + 2 * stream) + 7919 * stream) % PRIME % choices
+    """A repeatable choice from 0..choices-1 for a row number, another one for each stream."""
+    return ((number % PRIME) * (FACTOR + 104_729 * stream) + 7919 * stream) % PRIME % choices
 
 
 def mix_sizes(n: Column) -> tuple[Column, Column]:
