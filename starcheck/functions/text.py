@@ -35,3 +35,8 @@ def terms(text: Column) -> Column:
 
 def has_terms(text: Column) -> Column:
     return F.lower(text).rlike(TERM)
+
+
+def bare_words(text: Column) -> Column:
+    """The lower-cased text with one space for all that is no part of a word."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))

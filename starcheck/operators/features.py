@@ -13,6 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starcheck.functions.once import once
 from starcheck.functions.text import terms
 
 # Size of the vocabulary and texts a term must occur in.
@@ -20,33 +21,34 @@ MAX_TERMS = 20_000
 MIN_TEXTS = 2
 
 
-def words_and_pairs(text: Column) -> Column:
-    """All terms of a text, then all pairs of neighbouring terms."""
-    words = terms(text)
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+def with_terms(df: DataFrame, name: str) -> DataFrame:
+    """Add an array of all terms of the text, then all pairs of neighbouring terms."""
+    words = F.col("_words")
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    joined = F.zip_with(
+        F.slice(words, F.lit(1), pairs),
+        F.slice(words, F.lit(2), pairs),
         lambda first, second: F.concat_ws(" ", first, second),
     )
-    return F.concat(words, pairs)
+    split = once(df, _words=terms(F.col("text")))
+    return once(split, **{name: F.concat(words, joined)}).drop("_words")
 
 
 def vocabulary(df: DataFrame, max_terms: int = MAX_TERMS, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(term, df, total): the most frequent terms, ties in alphabetical order.
 
-    The terms of a text are sorted next to each other in place, so that both the texts and the
+    Each text gives its distinct terms and then all its terms, so that both the texts and the
     occurrences of a term come out of one partial aggregation by term.
     """
-    ordered = df.select(F.sort_array(words_and_pairs(F.col("text"))).alias("_terms"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_terms"))
-    neighbours = F.zip_with("_terms", before, lambda term, last: F.struct(term.alias("term"), last.alias("last")))
+    every = with_terms(df.select("text"), "_all").select("_all")
+    both = once(every, _distinct=F.array_distinct("_all")).select(
+        F.size("_distinct").alias("_n"), F.posexplode(F.concat("_distinct", "_all")).alias("_at", "term")
+    )
     return (
-        ordered.select(F.explode(neighbours).alias("_n"))
-        .filter(F.col("_n.term").isNotNull())
-        .groupBy(F.col("_n.term").alias("term"))
+        both.groupBy("term")
         .agg(
-            F.count_if(~F.col("_n.term").eqNullSafe(F.col("_n.last"))).alias("df"),
-            F.count(F.lit(1)).alias("total"),
+            F.count_if(F.col("_at") < F.col("_n")).alias("df"),
+            F.count_if(F.col("_at") >= F.col("_n")).alias("total"),
         )
         .filter(F.col("df") >= min_texts)
         .orderBy(F.desc("total"), "term")
@@ -66,7 +68,8 @@ def corpus_weights(df: DataFrame, key: str, max_terms: int = MAX_TERMS, min_text
     n = df.agg(F.count(F.lit(1))).scalar()
     known = vocabulary(df, max_terms, min_texts).select("term", idf(n, F.col("df")).alias("idf"))
     counted = (
-        df.select(key, F.explode(words_and_pairs(F.col("text"))).alias("term"))
+        with_terms(df.select(key, "text"), "_all")
+        .select(key, F.explode("_all").alias("term"))
         .join(F.broadcast(known), "term")
         .groupBy(key, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))

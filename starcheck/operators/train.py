@@ -1,5 +1,6 @@
 """Training, using and explaining a linear sentiment model."""
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -15,11 +16,12 @@ from starcheck.functions.labels import LABEL_NAMES, label_name
 from starcheck.functions.once import once
 from starcheck.operators.evaluate import class_weights
 from starcheck.operators.explain import CONTRIBUTIONS, TOP_TOKENS
-from starcheck.operators.features import MAX_TERMS, MIN_TEXTS, fit_features, words_and_pairs
+from starcheck.operators.features import MAX_TERMS, MIN_TEXTS, fit_features, with_terms
 
 # Inverse regularisation strength and iteration limit.
 INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 1000
+ROWS_PER_TASK = 20_000
 
 
 def train_classifier(
@@ -32,23 +34,27 @@ def train_classifier(
     """Multinomial logistic regression with balanced classes over TF-IDF features.
 
     `df` has text and label. The penalty is scaled to the sum of the weights, which is the number
-    of rows when the classes are balanced.
+    of rows when the classes are balanced. Equal rows are merged into one with their summed
+    weight, which leaves the loss as it is and saves every iteration from reading copies.
     """
     features = fit_features(df, max_terms, min_texts)
     # One row per class.
     weights = F.broadcast(class_weights(df).select("label", "weight"))
-    rows = df.select("text", "label").join(weights, "label")
+    distinct = df.groupBy("text", "label").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = distinct.join(weights, "label").withColumn("weight", F.col("weight") * F.col("_copies"))
     ready = features.transform(rows).select(F.col("label").cast("double"), "weight", "features").persist()
     try:
+        total, count = ready.agg(F.sum("weight"), F.count(F.lit(1))).first()
         learner = LogisticRegression(
             family="multinomial",
             weightCol="weight",
-            regParam=1.0 / (inverse_regularisation * ready.agg(F.sum("weight")).first()[0]),
+            regParam=1.0 / (inverse_regularisation * total),
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iterations,
         )
-        fitted = learner.fit(ready)
+        # Every iteration starts one task per partition, so few rows go into few of them.
+        fitted = learner.fit(ready.coalesce(max(1, math.ceil(count / ROWS_PER_TASK))))
     finally:
         ready.unpersist()
     return PipelineModel([*features.stages, fitted])
@@ -135,7 +141,8 @@ def term_contributions(df: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """
     known = F.greatest(F.array_position(F.array(*map(F.lit, LABEL_NAMES)), F.col("predicted_sentiment")), F.lit(1))
     found = (
-        df.select(key, known.alias("_class"), F.posexplode(words_and_pairs(F.col("text"))).alias("position", "term"))
+        with_terms(df.select(key, "text", known.alias("_class")), "_all")
+        .select(key, "_class", F.posexplode("_all").alias("position", "term"))
         .join(F.broadcast(terms), "term")
         .groupBy(key, "_class", "term", "idf", "mean", "coefficients")
         .agg(F.count(F.lit(1)).alias("_tf"), F.min("position").alias("position"))

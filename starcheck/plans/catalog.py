@@ -61,7 +61,8 @@ def vector_batch(spark, folder) -> DataFrame:
 
 
 def review_batches(spark, folder) -> DataFrame:
-    return with_position(reviews(spark, folder), ["batch_id"], "review_id", "review_index")
+    """The reviews with their place in the batch; written once, as clustering reads them often."""
+    return cut(with_position(reviews(spark, folder), ["batch_id"], "review_id", "review_index"))
 
 
 def labelled_documents(spark, folder) -> DataFrame:
@@ -398,7 +399,7 @@ def class_weights(spark, folder):
 
 
 def train_split(spark, folder):
-    rows = reviews(spark, folder).transform(clean.load_and_clean)
+    rows = cut(reviews(spark, folder).transform(clean.load_and_clean).select("review_id", "label"))
     return evaluate.stratified_split(rows, "review_id").select("review_id", "label", "is_train")
 
 

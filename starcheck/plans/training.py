@@ -21,9 +21,13 @@ CANDIDATES = {
 
 
 def split_frames(reviews: DataFrame, key: str = "review_id") -> tuple[DataFrame, DataFrame]:
-    """Cleaned training and test rows (key, text, label)."""
-    rows = stratified_split(reviews.transform(load_and_clean).select(key, "text", "label"), key)
-    rows = cut(rows)
+    """Cleaned training and test rows (key, text, label).
+
+    The cleaned rows are written once, as the split reads them more than once, and so is the
+    split, as training does.
+    """
+    cleaned = cut(reviews.transform(load_and_clean).select(key, "text", "label"))
+    rows = cut(stratified_split(cleaned, key))
     return rows.filter("is_train").drop("is_train"), rows.filter(~F.col("is_train")).drop("is_train")
 
 
