@@ -51,40 +51,69 @@ def needed_values(k: int, percent: int, miss: float = MISS) -> int:
     return k
 
 
-def _shingle_sets(size: int):
+def _shingles(words: list[bytes], codes: Codes, size: int) -> np.ndarray:
+    """The distinct shingles as sorted hashes; of fewer words than that the whole sequence."""
+    if len(words) >= size:
+        return np.unique(window_hash(codes.of(words), size).view(np.int64))
+    if not words:
+        return np.zeros(0, np.int64)
+    whole = window_hash(codes.of(words), len(words)) + np.uint64(len(words))
+    return mix(whole).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]))
+    )
+
+
+def _digests(arrays: list[np.ndarray]) -> np.ndarray:
+    joined = b"".join(xxhash.xxh3_128_digest(a.tobytes()) for a in arrays)
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+
+
+def _sketches(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in slices(batches):
-            arrays, digests = [], []
-            for text in texts(batch.column("text")):
-                words = (text or b"").lower().split()
-                code = codes.of(words)
-                if len(words) >= size:
-                    found = np.unique(window_hash(code, size).view(np.int64))
-                elif words:
-                    found = window_hash(code, len(words)).view(np.int64)
-                    found = mix(found.view(np.uint64) + np.uint64(len(words))).view(np.int64)
-                else:
-                    found = np.zeros(0, np.int64)
-                arrays.append(found)
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-            values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            found = [
+                _shingles((t or b"").lower().split(), codes, size) for t in texts(batch.column("text"))
+            ]
+            digests = _digests(found)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(np.diff(offsets).astype(np.int64)),
-                    pa.array(halves[:, 0]),
-                    pa.array(halves[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    pa.array([len(a) for a in found], pa.int64()),
+                    pa.array(digests[:, 0]),
+                    pa.array(digests[:, 1]),
+                    _lists([a[:k] for a in found]),
                 ],
-                names=["doc_id", "n", "d1", "d2", "shingles"],
+                names=["doc_id", "n", "d1", "d2", "sketch"],
             )
 
     return run
 
 
+def _full_sets(size: int):
+    """The full sets of the texts that stand for a class (those with its digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in slices(batches):
+            found = [
+                _shingles((t or b"").lower().split(), codes, size) for t in texts(batch.column("text"))
+            ]
+            own = _digests(found)
+            same = (own[:, 0] == batch.column("d1").to_numpy()) & (own[:, 1] == batch.column("d2").to_numpy())
+            columns = [batch.column(c) for c in ("doc_id", "score", "prefix")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, _lists(found)], names=["doc_id", "score", "prefix", "shingles"]
+            ).filter(pa.array(same))
+
+    return run
+
+
 def _listed(values: DataFrame, k: int, needed: int, percent: int) -> DataFrame:
     """(doc_id, n, score, prefix): the rarest shared values each document is listed under."""
     least = F.least(F.lit(needed), F.ceil(F.col("n") * percent / 100))
@@ -207,44 +236,45 @@ def near_duplicates(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     sets = scratch.write(
         rows.mapInArrow(
-            _shingle_sets(size), "doc_id long, n long, d1 long, d2 long, shingles array<long>"
+            _sketches(size, k), "doc_id long, n long, d1 long, d2 long, sketch array<long>"
         ),
         "sets",
     )
-    real = sets.filter("n > 0 and doc_id is not null")
     digest = ["d1", "d2"]
     classes = scratch.write(
-        real.groupBy(*digest).agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes"
+        sets.filter("n > 0 and doc_id is not null")
+        .groupBy(*digest)
+        .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        "classes",
     )
     # Of rows with one doc_id and several sets, the set with the least digest stands for the id.
-    ids = (
+    ids = scratch.write(
         classes.groupBy(F.col("first").alias("doc_id"))
-        .agg(F.min(F.struct("d1", "d2")).alias("d"))
-        .select("doc_id", "d.d1", "d.d2")
+        .agg(F.min(F.struct(*digest)).alias("d"), F.count("*").alias("m"))
+        .select("doc_id", "d.d1", "d.d2", "m"),
+        "ids",
     )
-    chosen_id = ["doc_id", "d1", "d2"]
+    standing = classes.select(F.col("first").alias("doc_id"), *digest, "n", "sketch")
+    if not ids.filter("m > 1").isEmpty():
+        standing = standing.join(ids.drop("m"), ["doc_id", *digest], "left_semi")
 
     # Retained values that more than one class has, and the rarest of them for each class.
-    values = scratch.write(
-        real.select(*chosen_id, "n", F.slice("shingles", 1, k).alias("v"))
-        .join(ids, chosen_id, "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "n", F.explode("v").alias("v")),
-        "values",
-    )
+    values = standing.select("doc_id", "n", F.explode("sketch").alias("v"))
     df = scratch.write(
         values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "df"
     )
-    listed = scratch.write(_listed(values.join(df, "v"), k, needed, percent), "listed")
-    scratch.drop("values", "df")
+    listed = _listed(values.join(df, "v"), k, needed, percent)
+    listed = scratch.write(listed.join(ids.drop("m"), "doc_id"), "listed")
+    scratch.drop("df")
     chosen = scratch.write(
-        real.select(*chosen_id, "shingles")
-        .join(ids, chosen_id, "left_semi")
-        .drop("d1", "d2")
-        .join(listed, "doc_id")
+        rows.join(listed, "doc_id")
+        .mapInArrow(
+            _full_sets(size), "doc_id long, score long, prefix array<long>, shingles array<long>"
+        )
         .dropDuplicates(["doc_id"]),
         "chosen",
     )
+    scratch.drop("listed")
 
     # Each list is compared with its leader.
     lists = chosen.select("doc_id", "score", F.explode("prefix").alias("v"))
@@ -356,7 +386,7 @@ def near_duplicates(
         "result",
     )
     scratch.drop(
-        "sets", "classes", "listed", "chosen", "leaders", "pairs", "heads", "likely", "links", "roots",
+        "sets", "classes", "ids", "chosen", "leaders", "pairs", "heads", "likely", "links", "roots",
         "group", "sizes", "more", "component", "of_class",
     )
     return result

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: bytes.split() cuts at exactly these bytes: space and \\t \\n \\v \\f \\r.
@@ -74,9 +75,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = batch.column(text).cast(pa.binary())
-        sizes = np.array([len(x) if x is not None else 0 for x in lengths.to_pylist()], np.int64)
-        part = np.cumsum(sizes) // SLICE_BYTES
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
