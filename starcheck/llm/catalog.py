@@ -6,18 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starcheck.llm import langid, mixing, packing, quality
 from starcheck.llm.minhash import near_duplicates
+from starcheck.llm.substring_dedup import repeated_passages
 from starcheck.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer's file; it lies at the same place on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(load(spark, folder, "documents")).drop("starts")
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, folder, "documents"), **mixing.PRODUCTION)
+    return mixed.select(
+        "row.doc_id", "row.source", "row.lang", "topic", "tokens", "weight", "probability", "kept"
+    )
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    return langid.identify(docs, model)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(load(spark, folder, "documents"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    return packing.pack(docs, tokenizer_path(), with_ids=False).drop("ids")
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_packing": op9_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}

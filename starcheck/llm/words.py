@@ -9,7 +9,7 @@ import xxhash
 
 #: bytes.split() cuts at exactly these bytes: space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _CACHED = 300_000
 
 
