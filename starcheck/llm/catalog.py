@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starcheck.llm import chat, fingerprints, langid, mixing, packing, quality
+from starcheck.llm import chat, fingerprints, langid, licenses, mixing, packing, quality, url_filter
 from starcheck.llm.minhash import near_duplicates
 from starcheck.llm.substring_dedup import repeated_passages
+from starcheck.llm.url_labels import labelled_urls
 from starcheck.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(load(spark, folder, "documents")).drop("starts")
 
 
+def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(load(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(load(spark, folder, "documents"), **mixing.PRODUCTION)
     return mixed.select(
@@ -39,6 +44,11 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model)
 
 
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    model = url_filter.train(*zip(*labelled_urls(), strict=True))
+    return url_filter.judge(load(spark, folder, "pages"), model)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(load(spark, folder, "documents"))
 
@@ -67,8 +77,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scans": op2_license_scans,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_url_filters": op5_url_filters,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_document_fingerprints": op8_document_fingerprints,
