@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcheck.llm import langid, mixing, packing, substring_dedup
-from starcheck.llm.catalog import tokenizer_path
+from starcheck.llm.catalog import vocabulary
 from starcheck.llm.minhash import near_duplicates
 from starcheck.llm.scratch import Scratch
 
@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their token ids, sequences and offsets."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, vocabulary())
 
 
 STAGES = [

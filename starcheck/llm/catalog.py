@@ -13,14 +13,16 @@ from starcheck.llm.url_labels import labelled_urls
 from starcheck.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOKENIZER = "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
-    """The public tokenizer's file; it lies at the same place on every machine."""
+def vocabulary() -> packing.Vocabulary:
+    """A public byte-level tokenizer; its files lie at the same place on every machine."""
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    found = public_tokenizers.path
+    return packing.Vocabulary(
+        str(found("byte_bpe_50k.json")), str(found("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    )
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +70,7 @@ def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
-    return packing.pack(docs, tokenizer_path(), with_ids=False).drop("ids")
+    return packing.pack(docs, vocabulary(), with_ids=False).drop("ids")
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,8 +10,10 @@ dealt again with one window more.
 
 from __future__ import annotations
 
+import base64
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -76,25 +78,56 @@ def deal(sizes: list[int], capacity: int) -> list[Window]:
         windows += 1
 
 
-def _tokenizer(path: str):
-    # Spark already runs a task per core.
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Tokens:
+    """Token ids of a tokenizer file, by a faster library with the same vocabulary where there is one.
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    `ranks` names a file of that vocabulary by rank and `pattern` how words are split. Very long runs of
+    white space, which the faster library can't split, are left to the file's own tokenizer.
+    """
+
+    LONG = 50_000
+
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
+        self.path, self.slow, self.fast = path, None, None
+        if ranks is not None:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+    def of(self, text: str) -> np.ndarray:
+        if self.fast is not None and not (
+            len(text) >= self.LONG and re.search(rf"\s{{{self.LONG}}}", text)
+        ):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.slow is None:
+            # Spark already runs a task per core.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def _cut(path: str, capacity: int, piece: int, end: int, with_ids: bool):
+class Vocabulary(NamedTuple):
+    """Where a tokenizer lies; each executor has the files."""
+
+    path: str
+    ranks: str | None = None
+    pattern: str | None = None
+
+
+def _cut(vocabulary: Vocabulary, capacity: int, piece: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, row = _tokenizer(path), 0
+        tokens, row = Tokens(*vocabulary), 0
         for batch in slices(batches):
-            docs = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             out: dict[str, list] = {k: [] for k in ("doc", "start", "length", "crc", "tokens", "row", "ids")}
-            for doc, encoded in zip(docs, _encoded(tokenizer, texts), strict=True):
-                ids = np.append(np.array(encoded, "<u4"), np.uint32(end)).astype("<u4")
+            for doc, text in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
+            ):
+                ids = np.append(tokens.of(text or ""), np.uint32(end)).astype("<u4")
                 whole = len(ids) // capacity * capacity
                 starts = [*range(0, whole, capacity), *range(whole, len(ids), piece)]
                 for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
@@ -118,13 +151,6 @@ def _cut(path: str, capacity: int, piece: int, end: int, with_ids: bool):
     return run
 
 
-def _encoded(tokenizer, texts: list[str], at_once: int = 64) -> Iterator[list[int]]:
-    """Token ids, a few texts at a time, so that few encodings are held."""
-    for k in range(0, len(texts), at_once):
-        for found in tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False):
-            yield found.ids
-
-
 def _deal_group(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
@@ -154,7 +180,7 @@ def _deal_group(capacity: int):
 
 def pack(
     docs: DataFrame,
-    tokenizer: str,
+    vocabulary: Vocabulary,
     *,
     capacity: int = CAPACITY,
     piece: int = PIECE,
@@ -164,16 +190,15 @@ def pack(
 ) -> DataFrame:
     """One row per piece of each row of `docs` (doc_id, text), with its sequence and offset there.
 
-    Columns: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset. `tokenizer` is the
-    path of a tokenizer file that each executor has. Strings of special tokens in a text are ordinary
-    text. A null text counts as empty and has the end token alone. Repeated rows and rows without
+    Columns: doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset. The files of
+    `vocabulary` are on each executor. Strings of special tokens in a text are ordinary text. A null text counts as empty and has the end token alone. Repeated rows and rows without
     doc_id are packed like all others. Other columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long, ids array<int>"
     pieces = scratch.write(
-        rows.mapInArrow(_cut(tokenizer, capacity, piece, end, with_ids), columns), "pieces"
+        rows.mapInArrow(_cut(vocabulary, capacity, piece, end, with_ids), columns), "pieces"
     )
     tokens = pieces.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (capacity * windows)))
