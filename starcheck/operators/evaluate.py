@@ -19,8 +19,8 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def train_quotas(df: DataFrame, label: str, test_share: float) -> DataFrame:
-    """Training rows per class: ceil(test_share * n) rows are held out, and the rest is shared
+def train_quotas(sizes: DataFrame, label: str, test_share: float) -> DataFrame:
+    """Training rows per class, of (label, rows): ceil(test_share * n) rows are held out, and the rest is shared
     out in proportion, with rounding by largest remainder (ties to the lower label).
 
     The windows run over one row per class.
@@ -28,8 +28,7 @@ def train_quotas(df: DataFrame, label: str, test_share: float) -> DataFrame:
     every_class = Window.partitionBy()
     total = F.sum("_n").over(every_class)
     return (
-        df.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        sizes.withColumnRenamed("rows", "_n")
         .withColumn("_total", total)
         .withColumn("_train", F.col("_total") - F.ceil(F.col("_total") * F.lit(test_share)))
         .withColumn("_share", F.col("_n").cast("decimal(19,0)") * F.col("_train").cast("decimal(19,0)"))
@@ -45,8 +44,11 @@ def stratified_split(
     df: DataFrame, key: str, label: str = "label", test_share: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add is_train: an exact split per class by a seeded hash of the unique key."""
-    quotas = train_quotas(df, label, test_share)
-    return mark_random(df, [label], F.broadcast(quotas), key, seed, "is_train")
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        return train_quotas(sizes, label, test_share)
+
+    return mark_random(df, [label], quotas, key, seed, "is_train")
 
 
 def confusion(

@@ -1,11 +1,15 @@
 """Row numbers and fixed-size picks that never sort a whole group in one task."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from starcheck.session import cut
 
 LEAF_BITS = 16
+MAX_GROUPS = 1000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -81,43 +85,73 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def mark_random(
-    df: DataFrame, groups: Sequence[str], quotas: DataFrame, key: str, seed: int, name: str
+    df: DataFrame,
+    groups: Sequence[str],
+    quotas: Callable[[DataFrame], DataFrame],
+    key: str,
+    seed: int,
+    name: str,
 ) -> DataFrame:
     """Mark `quota` rows of each group, chosen by a seeded hash of the unique key.
 
-    Each group is cut into 65,536 slices of the hash. The slice where the quota is used up is
-    found from counts alone; only the rows of that slice are sorted, all others are decided
-    where they are. `quotas` has the group columns and `quota`; rows of other groups go.
+    `quotas` makes (groups, quota) of (groups, rows); rows of other groups go. Each group is cut into
+    65,536 slices of the hash and the slice where the quota is used up is found from counts alone. Only
+    the keys of that slice are sorted, to find the last one that is taken. That one row per group comes
+    to the driver, and all rows are decided where they are: one scan without a shuffle.
     """
     groups = list(groups)
-    hashed = df.withColumn(
-        "_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    ).withColumn("_slice", F.substring("_hash", 1, 4))
-    slices = hashed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_count"))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    hashed = df.select(*groups, F.col(key).alias("_key"), digest.alias("_hash"))
+    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, 4))
+    slices = cut(hashed.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_count")))
+    sizes = slices.groupBy(*groups).agg(F.sum("_count").alias("rows"))
+    wanted = quotas(sizes).limit(MAX_GROUPS + 1).collect()
+    if len(wanted) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    few = df.sparkSession.createDataFrame(
+        [(*[r[g] for g in groups], r["quota"]) for r in wanted],
+        T.StructType([*[df.schema[g] for g in groups], T.StructField("quota", T.LongType())]),
+    )
     edges = (
         slices.withColumn("_before", _rows_before(groups, "_slice", "_count"))
-        .join(quotas, groups)
+        .join(F.broadcast(few), groups)
         .filter((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_count")))
-        .select(*groups, F.col("_slice").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_need"))
+        .select(*groups, "_slice", (F.col("quota") - F.col("_before")).alias("_need"))
     )
-    # A quota of zero has no edge and takes nothing; one above the group size takes everything.
-    marked = hashed.join(quotas, groups).join(edges, groups, "left")
-    at_edge = F.coalesce(F.col("_slice") == F.col("_edge"), F.lit(False))
-    decided = marked.filter(~at_edge).withColumn(
-        name,
-        F.coalesce(F.col("_slice") < F.col("_edge"), F.col("quota") > 0),
+    rank = F.row_number().over(Window.partitionBy(*groups, "_slice").orderBy("_hash", "_key"))
+    # At most one row per group, as each has one edge at most.
+    last = (
+        hashed.join(F.broadcast(edges), [*groups, "_slice"])
+        .withColumn("_rank", rank)
+        .filter(F.col("_rank") == F.col("_need"))
+        .collect()
     )
-    rank = F.row_number().over(Window.partitionBy(*groups, "_slice").orderBy("_hash", key))
-    edge = marked.filter(at_edge).withColumn(name, rank <= F.col("_need"))
-    return decided.unionByName(edge).drop("_hash", "_slice", "_edge", "_need", "quota")
+    ends = {tuple(r[g] for g in groups): (r["_hash"], r["_key"]) for r in last}
+    taken = None
+    for r in wanted:
+        of_group = F.lit(True)
+        for g in groups:
+            of_group = of_group & F.col(g).eqNullSafe(F.lit(r[g]))
+        end = ends.get(tuple(r[g] for g in groups))
+        # A quota of zero has no end and takes nothing; one above the group size takes everything.
+        if end is None:
+            within = F.lit(r["quota"] > 0)
+        else:
+            within = (F.col("_hash") < end[0]) | ((F.col("_hash") == end[0]) & (F.col(key) <= end[1]))
+        taken = F.when(of_group, within) if taken is None else taken.when(of_group, within)
+    taken = F.lit(None).cast("boolean") if taken is None else taken
+    marked = df.withColumn("_hash", digest).withColumn(name, taken).drop("_hash")
+    return marked.filter(F.col(name).isNotNull())
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int) -> DataFrame:
     """n rows of each group; an error if a group has fewer."""
-    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     message = F.format_string("a class has fewer than %d rows", F.lit(n))
-    quotas = sizes.select(
-        group,
-        F.when(F.col("_size") >= n, F.lit(n)).otherwise(F.raise_error(message).cast("int")).alias("quota"),
-    )
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        return sizes.filter(F.col(group).isNotNull()).select(
+            group,
+            F.when(F.col("rows") >= n, F.lit(n)).otherwise(F.raise_error(message).cast("int")).alias("quota"),
+        )
+
     return mark_random(df, [group], quotas, key, seed, "_chosen").filter("_chosen").drop("_chosen")

@@ -5,9 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
-HOT_ROWS = 10_000
-SALTS = 64
+from starcheck.session import cut
+
+ROWS_PER_TASK = 100_000
 
 
 def lookup_join(
@@ -17,7 +17,7 @@ def lookup_join(
     spread: str,
     matches: str,
     counts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join rows to a table that is unique on the keys, with hot keys spread over many tasks.
 
@@ -25,25 +25,20 @@ def lookup_join(
     key. That table should be cheap to make, as it is read once to see whether there are hot keys
     at all. Without any this is a plain join.
 
-    A key is hot when it holds over one in HOT_SHARE of all rows (and enough rows to matter), so
-    there are fewer than HOT_SHARE hot keys: that bound lets them be broadcast. Rows of a hot key
-    get one of SALTS numbers by a hash of the column `spread`, and the lookup row of a hot key is
-    repeated once per number. All other keys keep number 0, so nothing else is repeated.
+    A key with more than `rows_per_task` rows is cut in ceil(matches / rows_per_task) parts, whatever
+    its share of all rows. Its rows get a part by a hash of the column `spread`, and its lookup row is
+    repeated once per part. All other keys have part 0, so nothing else is repeated. The table of hot
+    keys grows with the data and gets no hint: it is written, so its size is known to the planner.
     """
     keys = list(keys)
     counts = lookup if counts is None else counts
-    total, biggest = counts.agg(F.sum(matches), F.max(matches)).first()
-    least = max(hot_rows, (total or 0) // HOT_SHARE)
-    if (biggest or 0) <= least:
+    parts = F.ceil(F.col(matches) / rows_per_task).alias("_parts")
+    hot = cut(counts.filter(F.col(matches) > rows_per_task).select(*keys, parts))
+    if hot.isEmpty():
         return rows.join(lookup, keys)
-    hot = F.broadcast(
-        counts.filter(F.col(matches) > least).select(*keys, F.lit(True).alias("_hot"))
-    )
     zero = F.lit(0).cast("long")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(zero)
-    salts = F.when(F.col("_hot"), F.sequence(zero, F.lit(SALTS - 1).cast("long"))).otherwise(
-        F.array(zero)
-    )
-    salted = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    salt = F.when(F.col("_parts").isNull(), zero).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts")))
+    salts = F.sequence(zero, F.coalesce("_parts", F.lit(1).cast("long")) - 1)
+    salted = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_parts")
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

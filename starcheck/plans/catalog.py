@@ -15,7 +15,6 @@ from starcheck.plans.training import split_frames, train_and_compare
 from starcheck.schema import ORDERS
 from starcheck.session import cut, scratch_path
 from starcheck.sources.derived import requests_from_reviews, reviews_from_orders
-from starcheck.sources.generator import reviews_from_numbers
 from starcheck.sources.requests import parse_requests, reject_batches, to_json_row
 from starcheck.sources.reviews_io import (
     flag_counts,
@@ -96,12 +95,6 @@ def roundtrip_csv(spark, folder):
     return read_reviews(spark, path)
 
 
-def gen_reviews_mix(spark, folder):
-    orders = load(spark, folder, "orders")
-    numbers = spread(orders, "o_orderkey").select((F.col("o_orderkey") + 1).alias("review_id"))
-    return reviews_from_numbers(numbers, orders.agg(F.count(F.lit(1))).scalar())
-
-
 def review_flag_counts(spark, folder):
     return flag_counts(reviews(spark, folder))
 
@@ -469,7 +462,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_source": normalized,
     "source_limit": limited,
     "roundtrip_csv": roundtrip_csv,
-    "gen_reviews_mix": gen_reviews_mix,
     "review_flag_counts": review_flag_counts,
     "parse_requests": parsed_requests,
     "emit_json": emit_json,

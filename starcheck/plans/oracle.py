@@ -7,7 +7,6 @@ and components from a recursive query. They are only meant for small data.
 
 from starcheck.functions.lexicon import NEGATIVE, POSITIVE
 from starcheck.sources import derived
-from starcheck.sources.generator import FACTOR, PRIME
 
 
 def _values(items: list) -> str:
@@ -148,39 +147,6 @@ classes AS (
   SELECT {group}class, 2e0 * count(*) FILTER (hit) / count(*) AS f1 FROM sides GROUP BY {by}class)"""
 
 
-def _draw(number: str, stream: int, choices: int) -> str:
-    return f"((({number}) % {PRIME}) * {FACTOR + 104_729 * stream} + {7919 * stream}) % {PRIME} % {choices}"
-
-
-GENERATED = f"""{LISTS},
-sizes AS (
-  SELECT n, CAST(floor(n * 12e-2) AS BIGINT) AS mismatches,
-         greatest(1, CAST(floor(floor(n * 8e-2) / 4e0) AS BIGINT)) * 4 AS fakes
-  FROM (SELECT count(*) AS n FROM orders)),
-numbers AS (
-  SELECT o_orderkey + 1 AS id, n - mismatches - fakes AS g, mismatches AS mm FROM orders, sizes),
-kinds AS (
-  SELECT *, CASE WHEN id <= g THEN 'genuine' WHEN id <= g + mm THEN 'mismatch' ELSE 'templated' END AS kind,
-    CASE WHEN id > g + mm THEN CAST(floor((id - g - mm - 1) / 4e0) AS BIGINT) ELSE id END AS grp FROM numbers),
-moods AS (
-  SELECT *, CASE kind WHEN 'templated' THEN 'positive'
-    WHEN 'mismatch' THEN CASE {_draw('id', 1, 2)} WHEN 0 THEN 'negative' ELSE 'positive' END
-    ELSE CASE {_draw('id', 1, 3)} WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END END AS mood
-  FROM kinds)
-SELECT id AS review_id, category AS product_category,
-  CAST(CASE WHEN kind = 'templated' THEN 5 WHEN mood = 'neutral' THEN 3
-       WHEN (mood = 'positive') = (kind = 'genuine') THEN 4 + {_draw('id', 4, 2)}
-       ELSE 1 + {_draw('id', 4, 2)} END AS INT) AS rating,
-  CASE WHEN kind = 'templated' THEN replace(replace(tpl.txt, '{{n}}', n), '{{f}}', f)
-       ELSE concat(CASE mood WHEN 'positive' THEN pos.txt WHEN 'negative' THEN neg.txt ELSE neu.txt END,
-                   ' (', category, ')') END AS text,
-  mood AS true_sentiment, kind = 'mismatch' AS is_mismatch, kind = 'templated' AS is_templated_fake
-FROM moods
-JOIN cat ON cat.k = {_draw('grp', 2, 8)} JOIN pos ON pos.k = {_draw('id', 3, 6)}
-JOIN neg ON neg.k = {_draw('id', 3, 6)} JOIN neu ON neu.k = {_draw('id', 3, 6)}
-JOIN tpl ON tpl.k = {_draw('grp', 5, 2)} JOIN noun ON noun.k = {_draw('id', 6, 5)}
-JOIN fill ON fill.k = {_draw('id', 7, 4)}"""
-
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -293,7 +259,6 @@ ORACLES: dict[str, str] = {
 FROM documents JOIN labels USING (doc_id)""",
     "source_limit": f"WITH {REVIEWS} SELECT review_id, rating, text FROM reviews ORDER BY review_id LIMIT 10000",
     "roundtrip_csv": f"WITH {REVIEWS} SELECT {REVIEW_COLUMNS} FROM reviews",
-    "gen_reviews_mix": f"WITH {GENERATED}",
     "review_flag_counts": f"""WITH {REVIEWS} SELECT count(*) AS reviews, count(*) FILTER (is_mismatch) AS mismatches,
   count(*) FILTER (is_templated_fake) AS templated_fakes FROM reviews""",
     "parse_requests": f"WITH {REQUESTS} SELECT batch_id, review_index, rating, text, review_id FROM slots",

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a session without one gets a local folder."""
+    """The cluster's checkpoint folder. Only a local session may do without: it gets a local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not configured and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="starcheck-"))
     return configured or context.getCheckpointDir()

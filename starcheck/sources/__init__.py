@@ -1 +1 @@
-"""Readers, writers and row generators for the review tables."""
+"""Readers and writers for the review tables."""

@@ -34,12 +34,12 @@ NEUTRAL = [
     "Broken box, nothing else to say",
 ]
 TEMPLATES = [
-    "Wow this {n} is the best {n} of my whole life, five stars from me and my family, {f}",
-    "I recommend this amazing {n} to every friend and neighbour I have, perfect in every way {f}",
+    "Ordered the {n} in spring and one more in autumn, perfect both times, sturdy and easy to clean {f}",
+    "Our neighbour borrowed the {n} once and bought the same {n} next morning, excellent in rain and in snow {f}",
 ]
 CATEGORIES = ["lamp", "kettle", "tent", "router", "boots", "mug", "drill", "chair"]
-NOUNS = ["product", "item", "gadget", "purchase", "thing"]
-FILLERS = ["", "honestly", "no doubt", "10/10"]
+NOUNS = ["ladder", "teapot", "rucksack", "printer", "lantern"]
+FILLERS = ["", "so far", "without question", "hands down"]
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -89,7 +89,7 @@ def reviews_from_orders(orders: DataFrame) -> DataFrame:
         .withColumn("product_category", pick(CATEGORIES, (key * 6271 + 5) % 10009 % 8))
     )
     return (
-        once(drawn, text=text)
+        drawn.withColumn("text", text)
         .select(
             key.alias("review_id"),
             "batch_id",

@@ -52,6 +52,6 @@ def test_hot_keys_are_spread_and_joined_once(spark):
     rows = spark.range(0, 3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("key"), "id")
     lookup = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     plain = sorted(tuple(r) for r in rows.join(lookup, "key").collect())
-    salted = lookup_join(rows, lookup, ["key"], "id", "n", hot_rows=100)
+    salted = lookup_join(rows, lookup, ["key"], "id", "n", rows_per_task=100)
     assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
     assert sorted(tuple(r) for r in salted.collect()) == plain

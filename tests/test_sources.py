@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from starcheck.functions.labels import pseudo_rating
 from starcheck.plans.analyze import analyze_rows
 from starcheck.schema import REVIEW_COLUMNS, REVIEWS
-from starcheck.sources.generator import generate_reviews
+from review_generator import generate_reviews
 from starcheck.sources.requests import parse_requests, reject_batches, to_json_row
 from starcheck.sources.reviews_io import normalize_source, read_reviews, write_reviews
 from starcheck.sources.runs import append_runs, comparison_table, log_run, read_runs

@@ -8,7 +8,7 @@ from starcheck.operators import evaluate, train
 from starcheck.operators.features import corpus_weights, fit_features, vocabulary
 from starcheck.operators.mismatch import lexicon_classifier, score_mismatch
 from starcheck.plans.training import split_frames, train_and_compare
-from starcheck.sources.generator import generate_reviews
+from review_generator import generate_reviews
 
 
 @pytest.fixture(scope="module")
