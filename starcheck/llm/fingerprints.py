@@ -111,48 +111,58 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     and near_next is 0. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
+    # Keys that are never null, so that all joins may share one shuffle of the texts.
+    key = ["absent", "id"]
+    doc_id = F.col("doc_id").cast("long")
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        doc_id.isNull().alias("absent"),
+        F.coalesce(doc_id, F.lit(0)).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    lengths = rows.filter("doc_id is not null").select("doc_id", F.length("text").alias("n"))
-    ids = scratch.write(next_ids(lengths.groupBy("doc_id").agg(F.max("n").alias("n")), scratch), "ids")
+    lengths = rows.filter("not absent").groupBy(F.col("id").alias("doc_id"))
+    ids = next_ids(lengths.agg(F.max(F.length("text")).alias("n")), scratch)
+    ids = scratch.write(
+        ids.select(F.lit(False).alias("absent"), F.col("doc_id").alias("id"), "n", "next_id"), "ids"
+    )
     scratch.drop("ranged")
 
-    whole = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    whole = rows.groupBy(*key).agg(F.min("text").alias("text"))
     heads = whole.join(
-        ids.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.floor(F.col("n") / 2).alias("m")),
-        "doc_id",
-    ).select(F.col("to").alias("doc_id"), F.substring("text", F.lit(1), F.col("m").cast("int")).alias("head"))
+        ids.select("absent", F.col("next_id").alias("id"), F.col("id").alias("to"), F.floor(F.col("n") / 2).alias("m")),
+        key,
+    ).select("absent", F.col("to").alias("id"), F.substring("text", F.lit(1), F.col("m").cast("int")).alias("head"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = whole.join(heads, "doc_id", "left").select(
-        "doc_id",
+    pairs = whole.join(heads, key, "left").select(
+        *key,
         "text",
         F.concat(
             F.substring("text", F.lit(1), n - half),
             F.coalesce(F.substring("head", F.lit(1), half), F.lit("")),
         ).alias("edited"),
     )
-    own = pairs.select("doc_id", F.inline(F.array(
+    own = pairs.select(*key, F.inline(F.array(
         F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")),
         F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")),
     )))
-    marks = fingerprints(own, ["doc_id", "is_edited"], samples)
-    both = marks.groupBy("doc_id").agg(
+    marks = fingerprints(own, [*key, "is_edited"], samples)
+    both = marks.groupBy(*key).agg(
         F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint"),
     )
     base = pairs.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+        *key, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
     )
-    match = base["doc_id"].eqNullSafe(both["doc_id"])
-    done = scratch.write(base.join(both, match).drop(both["doc_id"]), "done")
-    after = done.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    after = ids.select("doc_id", "next_id").join(after, "next_id").drop("next_id")
+    done = scratch.write(base.join(both, key), "done")
+    after = done.select("absent", F.col("id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    after = ids.join(after, ["absent", "next_id"]).select(*key, "next_fingerprint")
     result = scratch.write(
-        done.join(after, "doc_id", "left").select(
-            *done.columns,
+        done.join(after, key, "left").select(
+            F.when(~F.col("absent"), F.col("id")).alias("doc_id"),
+            "n_chars",
+            "edited_sha256",
+            "fingerprint",
+            "edited_fingerprint",
             likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
             F.when(
                 F.col("next_fingerprint").isNotNull(),
