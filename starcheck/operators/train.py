@@ -1,5 +1,6 @@
 """Training, using and explaining a linear sentiment model."""
 
+import logging
 import math
 from collections.abc import Callable
 
@@ -22,6 +23,9 @@ from starcheck.operators.features import MAX_TERMS, MIN_TEXTS, fit_features, wit
 INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 1000
 ROWS_PER_TASK = 20_000
+TOLERANCE = 1e-9
+
+log = logging.getLogger(__name__)
 
 
 def train_classifier(
@@ -40,7 +44,11 @@ def train_classifier(
     features = fit_features(df, max_terms, min_texts)
     # One row per class.
     weights = F.broadcast(class_weights(df).select("label", "weight"))
-    distinct = df.groupBy("text", "label").agg(F.count(F.lit(1)).alias("_copies"))
+    # Texts meet by a digest, so that whole texts are not shuffled as keys.
+    digest = F.unhex(F.sha2("text", 256)).alias("_digest")
+    distinct = df.groupBy(digest, "label").agg(
+        F.any_value("text").alias("text"), F.count(F.lit(1)).alias("_copies")
+    )
     rows = distinct.join(weights, "label").withColumn("weight", F.col("weight") * F.col("_copies"))
     ready = features.transform(rows).select(F.col("label").cast("double"), "weight", "features").persist()
     try:
@@ -52,6 +60,7 @@ def train_classifier(
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iterations,
+            tol=TOLERANCE,
         )
         # Every iteration starts one task per partition, so few rows go into few of them.
         fitted = learner.fit(ready.coalesce(max(1, math.ceil(count / ROWS_PER_TASK))))
@@ -96,11 +105,40 @@ def choose_classifier(kind: str, path: str | None, fallback: Callable[[DataFrame
     if kind == "model" and path:
         try:
             return model_classifier(load_model(path)), "model"
-        except Exception:  # any reason the model cannot be read
+        except Exception as problem:  # any reason the model cannot be read
+            log.warning("no model at %s, using the word lists: %s", path, problem)
             return fallback, "lexicon"
     return fallback, "lexicon"
 
 
+def optimum(df: DataFrame, model: PipelineModel, inverse_regularisation: float = INVERSE_REGULARISATION) -> DataFrame:
+    """How near a model is to the optimum of its loss on the rows it was trained on (text, label).
+
+    One row per class: label, weighted_rows and weighted_probability, which are equal there, and
+    gradient, the largest partial derivative of C * sum(weight * loss) + |W|^2 / 2 in the class's
+    coefficients, which is 0 there. Two vectors of the vocabulary's size per class come to the driver.
+    """
+    weights = F.broadcast(class_weights(df).select("label", "weight"))
+    scored = model.transform(df.join(weights, "label"))
+    scored = once(scored.select("label", "weight", "features", "probability"), _p=vector_to_array("probability"))
+    fitted = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    found = []
+    for k in [r.label for r in df.select("label").distinct().orderBy("label").collect()]:
+        is_class = (F.col("label") == k).cast("double")
+        rest = F.col("weight") * (F.get("_p", F.lit(k)) - is_class)
+        over, under = F.greatest(rest, F.lit(0.0)), F.greatest(-rest, F.lit(0.0))
+        rows, chance, more, less = scored.agg(
+            F.sum(F.col("weight") * is_class),
+            F.sum(F.col("weight") * F.get("_p", F.lit(k))),
+            Summarizer.metrics("sum").summary(F.col("features"), over)["sum"],
+            Summarizer.metrics("sum").summary(F.col("features"), under)["sum"],
+        ).first()
+        slope = inverse_regularisation * (more.toArray() - less.toArray()) + fitted.coefficientMatrix.toArray()[k]
+        found.append((k, float(rows), float(chance), float(abs(slope).max())))
+    schema = "label int, weighted_rows double, weighted_probability double, gradient double"
+    return df.sparkSession.createDataFrame(found, schema)
+
+
 def mean_features(df: DataFrame, model: PipelineModel) -> list[float]:
     """Mean feature vector: the point of comparison for explanations."""
     features = PipelineModel(model.stages[:-1])
@@ -151,8 +189,38 @@ def term_contributions(df: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
     coefficient = F.element_at("coefficients", F.col("_class").cast("int"))
     return found.withColumn("value", raw / length).select(
-        key, "term", "position", (coefficient * (F.col("value") - F.col("mean"))).alias("weight")
+        key,
+        "term",
+        "position",
+        (coefficient * (F.col("value") - F.col("mean"))).alias("weight"),
+        (coefficient * F.col("mean")).alias("expected"),
+    )
+
+
+def explanation_gaps(df: DataFrame, model: PipelineModel, terms: DataFrame, key: str) -> DataFrame:
+    """(key, gap): score of the predicted class minus all that its explanation adds up to.
+
+    That is the class's score at the mean features, the contributions of the terms in the text and those
+    of all other terms. The gap is 0 but for rounding.
+    """
+    fitted = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    raw = model.transform(df).select(
+        key, "text", F.col("prediction").cast("int").alias("_k"), vector_to_array("rawPrediction").alias("_raw")
+    )
+    raw = raw.withColumn("predicted_sentiment", label_name(F.col("_k")))
+    classes = range(len(fitted.interceptVector))
+    # One row of sums over the vocabulary.
+    at_mean = terms.agg(*[F.sum(F.get("coefficients", F.lit(k)) * F.col("mean")) for k in classes]).first()
+    own = (
+        term_contributions(raw, terms, key)
+        .groupBy(key)
+        .agg(F.sum("weight").alias("_own"), F.sum("expected").alias("_expected"))
     )
+    constant = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("_k"))
+    zero, mean_part = F.lit(0.0), constant(at_mean)
+    absent = F.coalesce("_expected", zero) - mean_part
+    total = constant(fitted.interceptVector) + mean_part + F.coalesce("_own", zero) + absent
+    return raw.join(own, key, "left").select(key, (F.get("_raw", F.col("_k")) - total).alias("gap"))
 
 
 def explain_with_model(scored: DataFrame, terms: DataFrame, key: str, limit: int = TOP_TOKENS) -> DataFrame:

@@ -10,8 +10,9 @@ from starcheck.functions.text import clean_text, flatten_text
 from starcheck.operators import clean, duplicates, evaluate, features, mismatch, train
 from starcheck.operators.positions import sample_per_group, with_position
 from starcheck.operators.tfidf import doc_tfidf
-from starcheck.plans.analyze import analyze_rows, exploded_explanations
-from starcheck.plans.training import split_frames, train_and_compare
+from starcheck.plans import analyze
+from starcheck.plans.analyze import analyze_rows, exploded_explanations, model_analysis
+from starcheck.plans.training import CANDIDATES, compare
 from starcheck.schema import ORDERS
 from starcheck.session import cut, scratch_path
 from starcheck.sources.derived import requests_from_reviews, reviews_from_orders
@@ -25,11 +26,13 @@ from starcheck.sources.reviews_io import (
 )
 from starcheck.sources.runs import append_runs, comparison_table, read_runs
 from starcheck.sources.tables import load, spread
-from starcheck.streaming.analyze_stream import analyze_stream, write_stream
+from starcheck.streaming.analyze_stream import analyze_stream, reject_stream, write_duplicates, write_stream
 
 THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55]
 VECTOR_EPS = 0.60
 SEED = 1
+# What the model queries state holds for any model, so all but train_logreg stop early.
+FEW_ITERATIONS = 30
 
 
 # Inputs
@@ -356,12 +359,15 @@ def lexicon_explain(spark, folder):
 
 
 def model_explain(spark, folder):
-    rows, _ = split_frames(reviews(spark, folder))
-    model = train.train_classifier(rows)
+    """How many held-out texts' explanations do not add up to their score."""
+    rows, held_out = document_frames(spark, folder)
+    model = train.train_classifier(rows, max_iterations=FEW_ITERATIONS)
     terms = train.term_table(spark, model, train.mean_features(rows, model))
-    flagged = mismatch.score_mismatch(reviews(spark, folder), train.model_classifier(model))
-    explained = train.explain_with_model(flagged.filter("is_flagged"), terms, "review_id")
-    return exploded_explanations(explained)
+    gaps = train.explanation_gaps(held_out, model, terms, "review_id")
+    return gaps.agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if(F.coalesce(F.abs("gap") > 1e-6, F.lit(True))).alias("texts_off"),
+    )
 
 
 # Training and evaluation
@@ -406,30 +412,89 @@ def macro_f1(spark, folder):
     return evaluate.macro_f1(cells).select(F.round("f1_macro", 6).alias("f1_macro"))
 
 
+def labelled_texts(spark, folder) -> DataFrame:
+    """Labelled documents as training rows of three classes: bad, toxic and good."""
+    label = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return clean.with_clean_text(
+        labelled_documents(spark, folder).select(
+            F.col("doc_id").alias("review_id"), "text", label.alias("label"),
+            pseudo_rating(F.lit("amazon_polarity"), F.col("quality")).alias("rating"),
+        )
+    ).filter(F.length("text") > 0)
+
+
+def document_frames(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows = cut(evaluate.stratified_split(cut(labelled_texts(spark, folder)), "review_id"))
+    return rows.filter("is_train").drop("is_train"), rows.filter(~F.col("is_train")).drop("is_train")
+
+
 def train_logreg(spark, folder):
-    """Confusion table of the held-out rows."""
-    rows, held_out = split_frames(reviews(spark, folder))
-    return evaluate.confusion(train.predict(held_out, train.train_classifier(rows)))
+    """What holds at the optimum of the training loss, by class."""
+    rows, _ = document_frames(spark, folder)
+    found = train.optimum(rows, train.train_classifier(rows))
+    off = F.abs(F.col("weighted_probability") - F.col("weighted_rows"))
+    return found.select(
+        "label",
+        F.round("weighted_rows", 2).alias("weighted_rows"),
+        (off < 0.001 * F.col("weighted_rows")).alias("is_balanced"),
+        (F.col("gradient") < 0.01).alias("is_flat"),
+    )
 
 
 def model_sentiment(spark, folder):
-    rows, _ = split_frames(reviews(spark, folder))
-    classifier = train.model_classifier(train.train_classifier(rows))
-    return mismatch.score_mismatch(reviews(spark, folder), classifier).select(
-        "review_id", "predicted_sentiment", "sentiment_confidence", "mismatch_score", "is_flagged"
+    """Held-out texts scored by the model: how many per class, and how many break a rule of the score."""
+    rows, held_out = document_frames(spark, folder)
+    scored_rows = mismatch.score_mismatch(held_out, train.model_classifier(train.train_classifier(rows, max_iterations=FEW_ITERATIONS)))
+    sound = (
+        F.col("sentiment_confidence").between(0.333, 1.0)
+        & F.col("predicted_sentiment").isin(LABEL_NAMES)
+        & F.col("mismatch_score").between(0.0, 0.75)
+        & (F.col("is_flagged") == (F.col("mismatch_score") >= mismatch.DEFAULT_THRESHOLD))
+    )
+    return scored_rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("unsound")
     )
 
 
 def model_roundtrip(spark, folder):
-    """Predictions of a model that was saved and loaded again."""
-    rows, held_out = split_frames(reviews(spark, folder))
+    """How many held-out predictions differ when the model was saved and loaded again."""
+    rows, held_out = document_frames(spark, folder)
     path = scratch_path(spark, "model")
-    train.save_model(train.train_classifier(rows), path)
-    return train.predict(held_out, train.load_model(path)).select("review_id", "label", "prediction", "confidence")
+    model = train.train_classifier(rows, max_iterations=FEW_ITERATIONS)
+    train.save_model(model, path)
+    before = train.predict(held_out, model).select("review_id", "prediction", "confidence")
+    after = train.predict(held_out, train.load_model(path)).select(
+        "review_id", F.col("prediction").alias("p"), F.col("confidence").alias("c")
+    )
+    differs = (F.col("prediction") != F.col("p")) | (F.col("confidence") != F.col("c"))
+    return before.join(after, "review_id").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(differs).alias("different")
+    )
 
 
 def train_and_compare_models(spark, folder):
-    return train_and_compare(reviews(spark, folder), scratch_path(spark, "runs"), "sentiment")
+    """The runs of all candidates on the same split, and whether their metrics can be."""
+    rows, held_out = document_frames(spark, folder)
+    candidates = {name: {**settings, "max_iterations": FEW_ITERATIONS} for name, settings in CANDIDATES.items()}
+    table = compare(rows, held_out, scratch_path(spark, "runs"), "sentiment", candidates)
+    share = F.col("accuracy").between(0, 1) & F.col("f1_macro").between(0, 1)
+    return table.select(
+        "run", "model_type", (share & (F.col("latency_ms") > 0)).alias("is_sound"), F.lit(held_out.count()).alias("texts")
+    )
+
+
+def analyze_rows_model(spark, folder):
+    """Held-out texts analysed by a saved model: who judged and explained them."""
+    rows, held_out = document_frames(spark, folder)
+    path = scratch_path(spark, "model")
+    model = train.train_classifier(rows, max_iterations=FEW_ITERATIONS)
+    train.save_model(model, path)
+    terms = train.term_table(spark, model, train.mean_features(rows, model))
+    found = model_analysis(held_out, path, terms, "review_id")
+    explained = F.when(F.col("is_flagged"), F.col("explanation_method") == "linear_shapley").otherwise(
+        F.col("explanation").isNull() & F.col("explanation_method").isNull()
+    )
+    return found.select("review_id", "classifier", F.coalesce(explained, F.lit(False)).alias("is_explained"))
 
 
 # Entry points
@@ -438,6 +503,28 @@ def analysis(spark, folder):
     return reviews(spark, folder).transform(analyze_rows).drop("explanation")
 
 
+def conversation_batches(spark, folder) -> DataFrame:
+    """Conversations as request batches; the turn is the index and gives the stars."""
+    turns = load(spark, folder, "conversations").filter("conv_id is not null and turn is not null")
+    return turns.select(
+        F.col("conv_id").alias("batch_id"),
+        F.col("turn").alias("review_index"),
+        F.concat_ws("-", "conv_id", "turn").alias("review_id"),
+        (F.col("turn") % 5 + 1).cast("int").alias("rating"),
+        "text",
+    )
+
+
+def analyze_conversations(spark, folder):
+    results, _ = analyze.analyze_batch(conversation_batches(spark, folder))
+    return results.drop("explanation")
+
+
+def conversation_duplicates(spark, folder):
+    _, clusters = analyze.analyze_batch(conversation_batches(spark, folder))
+    return clusters
+
+
 def analyze_batch(spark, folder):
     """Every review of a batch with its score and its duplicate cluster."""
     rows = review_batches(spark, folder)
@@ -457,6 +544,25 @@ def stream_analyze(spark, folder):
     return spark.read.parquet(out).drop("explanation")
 
 
+def stream_rejects(spark, folder):
+    """Requests of a stream that cannot be scored, in a sink of their own."""
+    orders = spark.readStream.schema(ORDERS).parquet(f"{folder.rstrip('/')}/orders*.parquet")
+    parsed = parse_requests(requests_from_reviews(reviews_from_orders(orders)))
+    out = scratch_path(spark, "rejects")
+    write_stream(reject_stream(parsed), out, scratch_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select("batch_id", "review_index", "reject_reason")
+
+
+def stream_duplicates(spark, folder):
+    """Near duplicates of the one micro-batch that the reviews arrive in."""
+    orders = spark.readStream.schema(ORDERS).parquet(f"{folder.rstrip('/')}/orders*.parquet")
+    out = scratch_path(spark, "duplicates")
+    write_duplicates(
+        reviews_from_orders(orders), out, scratch_path(spark, "stream-state"), "review_id"
+    ).awaitTermination()
+    return spark.read.parquet(out).drop("micro_batch")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_reviews": scan_reviews,
     "normalize_source": normalized,
@@ -511,4 +617,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analyze_rows": analysis,
     "analyze_batch": analyze_batch,
     "stream_analyze": stream_analyze,
+    "analyze_rows_model": analyze_rows_model,
+    "analyze_conversations": analyze_conversations,
+    "conversation_duplicates": conversation_duplicates,
+    "stream_rejects": stream_rejects,
+    "stream_duplicates": stream_duplicates,
 }

@@ -180,10 +180,7 @@ DOC_CLUSTERS = f"""{_vectors('SELECT 0 AS b, doc_id AS i, text FROM documents')}
 {CLUSTERS}"""
 
 # Equal texts of a batch are compared once, then every row is counted.
-REVIEW_CLUSTERS = f"""{REVIEWS},
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY review_id) - 1 AS review_index FROM reviews),
-docs AS (SELECT batch_id AS b, review_index AS i, text FROM placed),
+BATCH_CLUSTERS = f"""docs AS (SELECT batch_id AS b, review_index AS i, text FROM placed),
 tokens AS (SELECT b, i, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM docs),
 tf AS (SELECT b, i, term, count(*) AS tf FROM tokens GROUP BY ALL),
 df AS (SELECT b, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -209,6 +206,26 @@ members AS (
   JOIN heads ON heads.b = docs.b AND heads.text = docs.text
   JOIN head_clusters ON head_clusters.b = heads.b AND head_clusters.head = heads.head)"""
 
+REVIEW_CLUSTERS = f"""{REVIEWS},
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY review_id) - 1 AS review_index FROM reviews),
+{BATCH_CLUSTERS}"""
+
+# The whole stream is one batch.
+STREAM_CLUSTERS = f"""{REVIEWS},
+placed AS (
+  SELECT 0 AS batch_id, text, row_number() OVER (ORDER BY review_id) - 1 AS review_index FROM reviews),
+{BATCH_CLUSTERS}"""
+
+CONVERSATION_CLUSTERS = f"""placed AS (
+  SELECT conv_id AS batch_id, turn AS review_index, conv_id || '-' || turn AS review_id,
+    CAST(turn % 5 + 1 AS INT) AS rating, text
+  FROM conversations WHERE length(text) BETWEEN 1 AND 5000),
+{BATCH_CLUSTERS}"""
+
+CLUSTER_SUMMARY = """SELECT b AS batch_id, cluster_id, count(*) AS size, min(i) AS first_index,
+  min_by(text, i) AS representative_text FROM members GROUP BY b, cluster_id"""
+
 VECTOR_PAIRS = """near AS (
   SELECT x.vec_id AS u, y.vec_id AS v FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id
   WHERE 1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) <= 6e-1)"""
@@ -251,6 +268,20 @@ REVIEW_COLUMNS = "review_id, product_category, rating, text, true_sentiment, is_
 
 LABELLED = f"{REVIEWS}, labelled AS (SELECT *, {LABEL} AS label FROM (SELECT *, {_clean('text')} AS cleaned FROM reviews) WHERE length(cleaned) > 0)"
 
+# Labelled documents, and the rows of each class that the split holds out.
+DOCUMENT_SPLIT = f"""labelled AS (
+  SELECT doc_id, CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END AS label
+  FROM documents JOIN labels USING (doc_id) WHERE length({_clean('text')}) > 0),
+counts AS (SELECT label, CAST(count(*) AS HUGEINT) AS n FROM labelled GROUP BY label),
+totals AS (SELECT sum(n) AS total, sum(n) - CAST(ceil(sum(n) * 2e-1) AS HUGEINT) AS train FROM counts),
+shares AS (SELECT label, n, n * train // total AS whole, n * train % total AS rest, train FROM counts, totals),
+quotas AS (
+  SELECT label, n, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= train - sum(whole) OVER () THEN 1 ELSE 0 END AS quota
+  FROM shares),
+split AS (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':42'), doc_id) > quota AS is_held_out
+  FROM labelled JOIN quotas USING (label))"""
+
 ORACLES: dict[str, str] = {
     "scan_reviews": f"WITH {REVIEWS} SELECT batch_id, {REVIEW_COLUMNS} FROM reviews",
     "normalize_source": f"""SELECT row_number() OVER (ORDER BY doc_id) AS review_id, 'unknown' AS product_category,
@@ -372,4 +403,25 @@ SELECT round(avg(CASE WHEN label = prediction THEN 1e0 ELSE 0e0 END), 6) AS accu
 SELECT batch_id, review_index, review_id, mismatch_score, is_flagged, cluster_id
 FROM scored LEFT JOIN members ON b = batch_id AND i = review_index""",
     "stream_analyze": f"WITH {SCORED} {ANALYSIS}",
+    "train_logreg": f"""WITH {DOCUMENT_SPLIT},
+weights AS (SELECT label, round(CAST(sum(quota) OVER () AS DOUBLE) / count(*) OVER (), 2) AS w FROM quotas WHERE quota > 0)
+SELECT label, w AS weighted_rows, true AS is_balanced, true AS is_flat FROM weights""",
+    "model_sentiment": f"""WITH {DOCUMENT_SPLIT}
+SELECT label, count(*) AS texts, 0 AS unsound FROM split WHERE is_held_out GROUP BY label""",
+    "model_roundtrip": f"WITH {DOCUMENT_SPLIT} SELECT count(*) AS texts, 0 AS different FROM split WHERE is_held_out",
+    "model_explain": f"WITH {DOCUMENT_SPLIT} SELECT count(*) AS texts, 0 AS texts_off FROM split WHERE is_held_out",
+    "train_and_compare": f"""WITH {DOCUMENT_SPLIT}
+SELECT run, 'tfidf_logreg' AS model_type, true AS is_sound, (SELECT count(*) FROM split WHERE is_held_out) AS texts
+FROM (VALUES ('tfidf-logreg-baseline'), ('tfidf-logreg-small'), ('tfidf-logreg-tight')) runs(run)""",
+    "analyze_rows_model": f"""WITH {DOCUMENT_SPLIT}
+SELECT doc_id AS review_id, 'model' AS classifier, true AS is_explained FROM split WHERE is_held_out""",
+    "analyze_conversations": f"""WITH RECURSIVE {CONVERSATION_CLUSTERS},
+{_scored('placed')}
+SELECT batch_id, review_index, review_id, rating, predicted_sentiment, sentiment_confidence, mismatch_score, is_flagged,
+  reason, CASE WHEN is_flagged THEN 'lexicon_fallback' END AS explanation_method, cluster_id
+FROM scored LEFT JOIN members ON b = batch_id AND i = review_index""",
+    "conversation_duplicates": f"WITH RECURSIVE {CONVERSATION_CLUSTERS} {CLUSTER_SUMMARY}",
+    "stream_duplicates": f"WITH RECURSIVE {STREAM_CLUSTERS} {CLUSTER_SUMMARY}",
+    "stream_rejects": f"""WITH {REQUESTS}
+SELECT batch_id, review_index, {REASONS.format(more='')} AS reject_reason FROM slots WHERE reject_reason IS NOT NULL""",
 }

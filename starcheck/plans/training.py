@@ -42,9 +42,15 @@ def milliseconds_per_row(df: DataFrame, model: PipelineModel) -> float:
 def train_and_compare(
     reviews: DataFrame, runs_path: str, experiment: str, candidates: dict[str, dict] = CANDIDATES
 ) -> DataFrame:
-    """Fit every candidate on the same split, log each run, and return the comparison table."""
-    spark = reviews.sparkSession
-    train, test = split_frames(reviews)
+    """Split the reviews, fit every candidate, and return the comparison table."""
+    return compare(*split_frames(reviews), runs_path, experiment, candidates)
+
+
+def compare(
+    train: DataFrame, test: DataFrame, runs_path: str, experiment: str, candidates: dict[str, dict] = CANDIDATES
+) -> DataFrame:
+    """Fit every candidate on the same rows, log each run, and return the comparison table."""
+    spark = train.sparkSession
     for name, settings in candidates.items():
         model = train_classifier(train, **settings)
         found = metrics(predict(test, model)).first()

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from starcheck.operators.clean import validate
+from starcheck.operators.clean import rejects, validate
 from starcheck.operators.duplicates import EPS, MIN_SAMPLES, cluster_summary, text_clusters
 from starcheck.operators.mismatch import DEFAULT_THRESHOLD
 from starcheck.operators.positions import with_position
@@ -18,10 +18,18 @@ def read_request_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def analyze_stream(requests: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Valid requests, scored and explained. Stateless, so any trigger gives the same rows."""
+    """Valid requests, scored and explained. Stateless, so any trigger gives the same rows.
+
+    The others are in reject_stream(); both together are all requests.
+    """
     return requests.transform(validate).transform(analyze_rows, threshold=threshold)
 
 
+def reject_stream(requests: DataFrame) -> DataFrame:
+    """Requests that cannot be scored, each with its reject_reason, for a sink of their own."""
+    return requests.transform(rejects)
+
+
 def write_stream(analysis: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to Parquet; the checkpoint makes each row arrive exactly once."""
     return (
