@@ -15,8 +15,8 @@ GROUP = "batch_id"
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """Each node's least neighbour and its degree, written, so that hubs are known."""
-    return cut(edges.groupBy(GROUP, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_degree")))
+    """Each node's least neighbour and its degree."""
+    return edges.groupBy(GROUP, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_degree"))
 
 
 def _with_least(edges: DataFrame, least: DataFrame, rows_per_task: int) -> DataFrame:

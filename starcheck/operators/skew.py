@@ -32,10 +32,10 @@ def lookup_join(
     """
     keys = list(keys)
     counts = lookup if counts is None else counts
+    if (counts.agg(F.max(matches)).first()[0] or 0) <= rows_per_task:
+        return rows.join(lookup, keys)
     parts = F.ceil(F.col(matches) / rows_per_task).alias("_parts")
     hot = cut(counts.filter(F.col(matches) > rows_per_task).select(*keys, parts))
-    if hot.isEmpty():
-        return rows.join(lookup, keys)
     zero = F.lit(0).cast("long")
     salt = F.when(F.col("_parts").isNull(), zero).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts")))
     salts = F.sequence(zero, F.coalesce("_parts", F.lit(1).cast("long")) - 1)
