@@ -37,7 +37,7 @@ K = 64
 #: Retained values that two linked documents share but for a chance of about 1e-9: of K=64 values
 #: of the union's sketch each is in both sets with probability 0.75 or more.
 MISS = 1e-9
-BLOCK = 1024
+BLOCK = 256
 
 
 def needed_values(k: int, percent: int, miss: float = MISS) -> int:
