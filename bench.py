@@ -24,7 +24,7 @@ HEADLINE = [
     "dbscan_labels",
     "duplicate_clusters",
     "embedding_clusters",
-    "train_logreg",
+    "model_roundtrip",
     "stream_analyze",
 ]
 
@@ -49,7 +49,8 @@ def session(cpus: str) -> SparkSession:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
-    spark.range(1000).selectExpr("sum(id)").collect()
+    # Outside the list: starts the JVM's compiler and reads the tables once.
+    QUERIES["flagged_reviews"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):
         start = time.perf_counter()
