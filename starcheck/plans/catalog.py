@@ -479,7 +479,7 @@ def train_and_compare_models(spark, folder):
     table = compare(rows, held_out, scratch_path(spark, "runs"), "sentiment", candidates)
     share = F.col("accuracy").between(0, 1) & F.col("f1_macro").between(0, 1)
     return table.select(
-        "run", "model_type", (share & (F.col("latency_ms") > 0)).alias("is_sound"), F.lit(held_out.count()).alias("texts")
+        "run", "model_type", (share & (F.col("latency_ms") > 0)).alias("is_sound"), F.lit(held_out.count()).cast("long").alias("texts")
     )
 
 

@@ -214,7 +214,7 @@ placed AS (
 # The whole stream is one batch.
 STREAM_CLUSTERS = f"""{REVIEWS},
 placed AS (
-  SELECT 0 AS batch_id, text, row_number() OVER (ORDER BY review_id) - 1 AS review_index FROM reviews),
+  SELECT CAST(0 AS BIGINT) AS batch_id, text, row_number() OVER (ORDER BY review_id) - 1 AS review_index FROM reviews),
 {BATCH_CLUSTERS}"""
 
 CONVERSATION_CLUSTERS = f"""placed AS (
@@ -407,9 +407,9 @@ FROM scored LEFT JOIN members ON b = batch_id AND i = review_index""",
 weights AS (SELECT label, round(CAST(sum(quota) OVER () AS DOUBLE) / count(*) OVER (), 2) AS w FROM quotas WHERE quota > 0)
 SELECT label, w AS weighted_rows, true AS is_balanced, true AS is_flat FROM weights""",
     "model_sentiment": f"""WITH {DOCUMENT_SPLIT}
-SELECT label, count(*) AS texts, 0 AS unsound FROM split WHERE is_held_out GROUP BY label""",
-    "model_roundtrip": f"WITH {DOCUMENT_SPLIT} SELECT count(*) AS texts, 0 AS different FROM split WHERE is_held_out",
-    "model_explain": f"WITH {DOCUMENT_SPLIT} SELECT count(*) AS texts, 0 AS texts_off FROM split WHERE is_held_out",
+SELECT label, count(*) AS texts, CAST(0 AS BIGINT) AS unsound FROM split WHERE is_held_out GROUP BY label""",
+    "model_roundtrip": f"WITH {DOCUMENT_SPLIT} SELECT count(*) AS texts, CAST(0 AS BIGINT) AS different FROM split WHERE is_held_out",
+    "model_explain": f"WITH {DOCUMENT_SPLIT} SELECT count(*) AS texts, CAST(0 AS BIGINT) AS texts_off FROM split WHERE is_held_out",
     "train_and_compare": f"""WITH {DOCUMENT_SPLIT}
 SELECT run, 'tfidf_logreg' AS model_type, true AS is_sound, (SELECT count(*) FROM split WHERE is_held_out) AS texts
 FROM (VALUES ('tfidf-logreg-baseline'), ('tfidf-logreg-small'), ('tfidf-logreg-tight')) runs(run)""",
