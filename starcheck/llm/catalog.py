@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starcheck.llm import chat, fingerprints, langid, licenses, mixing, packing, quality, url_filter
 from starcheck.llm.minhash import near_duplicates
+from starcheck.llm.oracle import ORACLES
 from starcheck.llm.substring_dedup import repeated_passages
 from starcheck.llm.url_labels import labelled_urls
 from starcheck.sources.tables import load
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -89,5 +92,3 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLES: dict[str, str] = {}
