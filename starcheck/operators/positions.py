@@ -13,8 +13,20 @@ MAX_GROUPS = 1000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _leaf(key: str) -> Column:
-    return F.shiftright(F.col(key), LEAF_BITS)
+def leaf_bits(df: DataFrame, key: str) -> int:
+    """How many low bits of the keys a leaf spans, so that it holds 65,536 rows at most on average.
+
+    Dense keys have leaves of 16 bits; for sparse ones, such as hashes, a leaf spans as many more as there
+    are keys without a row. One pass over the keys.
+    """
+    least, most, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not rows:
+        return LEAF_BITS
+    return min(LEAF_BITS + ((most - least + 1) // rows).bit_length() - 1, 62)
+
+
+def _leaf(key: str, bits: int) -> Column:
+    return F.shiftright(F.col(key), bits)
 
 
 def _rows_before(groups: Sequence[str], order: str, count: str) -> Column:
@@ -22,15 +34,15 @@ def _rows_before(groups: Sequence[str], order: str, count: str) -> Column:
     return F.coalesce(F.sum(count).over(window), F.lit(0))
 
 
-def leaf_offsets(df: DataFrame, groups: Sequence[str], key: str) -> DataFrame:
-    """Per group and leaf (65,536 neighbouring keys): how many rows come before the leaf.
+def leaf_offsets(df: DataFrame, groups: Sequence[str], key: str, bits: int) -> DataFrame:
+    """Per group and leaf (2^bits neighbouring keys): how many rows come before the leaf.
 
-    Counts are added up over two levels, so that no window sees more than 65,536 rows of a group
-    as long as the keys are below 2^48; larger keys stay right.
+    Counts are added up over two levels, so a window of a group sees one row per leaf of a branch, at
+    most 65,536, or one per branch: a row for each 2^32 rows where the keys are spread evenly.
     """
     groups = list(groups)
     leaves = (
-        df.groupBy(*groups, _leaf(key).alias("_leaf"))
+        df.groupBy(*groups, _leaf(key, bits).alias("_leaf"))
         .agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("_branch", F.shiftright("_leaf", LEAF_BITS))
     )
@@ -54,13 +66,14 @@ def with_position(df: DataFrame, groups: Sequence[str], key: str, name: str) ->
     """Add the 0-based position of each row in its group by a unique BIGINT key.
 
     Equal to row_number() - 1 over the group, but the data is shuffled by (group, leaf) and
-    sorted in pieces of at most 65,536 rows, whatever the size of the group.
+    sorted in pieces of about 65,536 rows, whatever the size of the group.
     """
     groups = list(groups)
-    leaves = leaf_offsets(df, groups, key).drop("_count")
+    bits = leaf_bits(df, key)
+    leaves = leaf_offsets(df, groups, key, bits).drop("_count")
     within = Window.partitionBy(*groups, "_leaf").orderBy(key)
     return (
-        df.withColumn("_leaf", _leaf(key))
+        df.withColumn("_leaf", _leaf(key, bits))
         .join(leaves, [*groups, "_leaf"])
         .withColumn(name, F.col("_before") + F.row_number().over(within) - 1)
         .drop("_leaf", "_before")
@@ -73,10 +86,11 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     Only leaves that start before row n matter. They number at most n, as each holds a row, so
     their table can be broadcast when n is small; the last one is cut by position.
     """
-    leaves = leaf_offsets(df, [], key).filter(F.col("_before") < n)
+    bits = leaf_bits(df, key)
+    leaves = leaf_offsets(df, [], key, bits).filter(F.col("_before") < n)
     if n <= 100_000:
         leaves = F.broadcast(leaves)
-    kept = df.withColumn("_leaf", _leaf(key)).join(leaves, "_leaf")
+    kept = df.withColumn("_leaf", _leaf(key, bits)).join(leaves, "_leaf")
     whole = kept.filter(F.col("_before") + F.col("_count") <= n)
     last = kept.filter(F.col("_before") + F.col("_count") > n)
     rank = F.row_number().over(Window.partitionBy("_leaf").orderBy(key))

@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starcheck.operators.evaluate import stratified_split
-from starcheck.operators.positions import first_rows, sample_per_group, with_position
+from starcheck.operators.positions import first_rows, leaf_bits, leaf_offsets, sample_per_group, with_position
 from starcheck.operators.skew import lookup_join
 
 
@@ -55,3 +55,21 @@ def test_hot_keys_are_spread_and_joined_once(spark):
     salted = lookup_join(rows, lookup, ["key"], "id", "n", rows_per_task=100)
     assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
     assert sorted(tuple(r) for r in salted.collect()) == plain
+
+
+def test_sparse_keys_have_few_leaves(spark):
+    """Hashed 64-bit keys: leaves and branches grow with the rows and not with the keys."""
+    df = spark.range(0, 200_000).select(F.xxhash64("id").alias("k"))
+    bits = leaf_bits(df, "k")
+    leaves = leaf_offsets(df, [], "k", bits).collect()
+    assert len(leaves) < 20 and max(r["_count"] for r in leaves) < 100_000
+    expected = F.row_number().over(Window.orderBy("k")) - 1
+    assert with_position(df, [], "k", "at").withColumn("expected", expected).filter("at <> expected").count() == 0
+    assert leaf_bits(spark.range(10).filter("id < 0"), "id") == leaf_bits(spark.range(100), "id") == 16
+
+
+def test_split_is_one_scan_without_a_shuffle(spark, tmp_path):
+    spark.range(0, 5000).select("id", (F.col("id") % 3).cast("int").alias("label")).write.parquet(str(tmp_path / "t"))
+    split = stratified_split(spark.read.parquet(str(tmp_path / "t")), "id")
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
