@@ -1,8 +1,9 @@
 """Packing tokenised documents into sequences by Karmarkar-Karp multiway differencing.
 
 A document's tokens, with an end token, are cut into full sequences and pieces of at most `piece`
-tokens of what is left; this depends on the document alone, so texts are never shuffled. The pieces
-fall into groups of a bounded number of tokens by a hash. In a group, differencing keeps partial
+tokens of what is left; this depends on the document alone, so texts are never shuffled. A full sequence
+is done as it is and is not shuffled. The pieces of what is left fall into groups of a bounded number of
+tokens by a hash. In a group, differencing keeps partial
 partitions of all windows and merges the two with the largest spread, the fullest window of one with
 the emptiest of the other, until one is left. If its fullest window is over the capacity, the group is
 dealt again with one window more.
@@ -31,6 +32,8 @@ PIECE = 512
 #: Windows of a group. More windows waste less and cost more time; the group's size in memory is bounded.
 WINDOWS = 128
 END = 1
+#: Full sequences are numbered from here on, by their place in the written pieces; group numbers end far below.
+FULL = 1 << 62
 
 
 class Window(NamedTuple):
@@ -158,10 +161,7 @@ def _deal_group(capacity: int):
         order = order.sort_values(["doc_id", "row", "start", "length", "ids_crc32"], kind="stable")
         table = table.take(pa.array(order.index.to_numpy()))
         lengths = table.column("length").to_pylist()
-        full = [k for k, n in enumerate(lengths) if n == capacity]
-        tails = [k for k, n in enumerate(lengths) if n < capacity]
-        dealt = [(k,) for k in full]
-        dealt += [tuple(tails[i] for i in w.items) for w in deal([lengths[k] for k in tails], capacity)]
+        dealt = [w.items for w in deal(lengths, capacity)]
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for number, items in enumerate(dealt):
             at = 0
@@ -200,15 +200,21 @@ def pack(
     pieces = scratch.write(
         rows.mapInArrow(_cut(vocabulary, capacity, piece, end, with_ids), columns), "pieces"
     )
-    tokens = pieces.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
+    tails = pieces.filter(F.col("length") < capacity)
+    tokens = tails.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (capacity * windows)))
     group = F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(groups)).alias("group")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
-    result = scratch.write(
-        pieces.select("*", group)
+    dealt = (
+        tails.select("*", group)
         .groupBy("group")
-        .applyInArrow(_deal_group(capacity), f"{schema}, sequence_id long, offset long"),
-        "result",
+        .applyInArrow(_deal_group(capacity), f"{schema}, sequence_id long, offset long")
     )
+    full = pieces.filter(F.col("length") == capacity).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids",
+        (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+    result = scratch.write(full.unionByName(dealt), "result")
     scratch.drop("pieces")
     return result

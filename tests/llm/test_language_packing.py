@@ -75,6 +75,30 @@ def test_packing_tiles_every_document(docs, rows, no_docs):
     assert packing.pack(no_docs, vocabulary()).collect() == []
 
 
+def test_full_sequences_stay_out_of_the_groups(spark, monkeypatch):
+    """Long documents with short tails: a group holds what is left of them and no full sequence."""
+    deal_group = packing._deal_group
+
+    def bounded(capacity):
+        def run(table):
+            lengths = table.column("length").to_pylist()
+            assert max(lengths) < capacity and sum(lengths) <= 2 * 4 * capacity, "group is not bounded"
+            return deal_group(capacity)(table)
+
+        return run
+
+    monkeypatch.setattr(packing, "_deal_group", bounded)
+    texts = [" ".join(f"w{k * j % 97}" for j in range(3000)) for k in range(12)]
+    long_docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    got = packing.pack(long_docs.repartition(3), vocabulary(), capacity=64, piece=16, windows=4).toPandas()
+    full = got[got.length == 64]
+    assert len(full) > 500 and (full.offset == 0).all() and full.sequence_id.is_unique
+    assert not set(full.sequence_id) & set(got[got.length < 64].sequence_id)
+    assert got.groupby("sequence_id").length.sum().max() <= 64
+    tokens = packing.Tokens(*vocabulary())
+    assert got.length.sum() == sum(len(tokens.of(t)) + 1 for t in [*texts, texts[0], texts[1]])
+
+
 def test_differencing_balances():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 513) for _ in range(300)]
