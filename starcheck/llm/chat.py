@@ -24,8 +24,6 @@ START, MIDDLE, END = "<|start|>", "<|text|>", "<|end|>\n"
 #: Strings that steer some chat template or other. A backslash after their first sign takes them apart.
 CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 BUDGET, HISTORY = 2048, 512
-#: History comes from so many windows back at most.
-REACH = 4
 TURN_TOKENS = 4
 TURNS = 64
 _CONV = ["absent", "conv"]
@@ -101,15 +99,20 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     )
 
 
-def _parts(placed: DataFrame, history: int) -> DataFrame:
-    """A row for each window that has a turn, as one of its own (back = 0) or as history."""
+def _parts(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """A row for each window that has a turn, as one of its own (back = 0) or as history.
+
+    A turn of a window lies less than the room after the window's first one, so a window that repeats it
+    starts less than room and history after that one. Turns have TURN_TOKENS at least, which bounds `later`.
+    """
     stretches = placed.groupBy(*_CONV, "stretch").agg(F.min("start").alias("first"))
     order = Window.partitionBy(*_CONV).orderBy("stretch")
+    ahead = Window.partitionBy(*_CONV).orderBy("first").rangeBetween(1, max(budget, history + 1))
     stretches = stretches.select(
         *_CONV,
         "stretch",
         F.row_number().over(order).alias("window"),
-        F.array(*[F.lead("first", k).over(order) for k in range(1, REACH + 1)]).alias("later"),
+        F.collect_list("first").over(ahead).alias("later"),
     )
     reaches = lambda k: (k == 0) | (
         ~F.col("is_system") & F.coalesce(F.get("later", k - 1) - F.col("start") <= history, F.lit(False))
@@ -121,7 +124,7 @@ def _parts(placed: DataFrame, history: int) -> DataFrame:
         "text",
         "is_system",
         F.col("window").alias("own"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(REACH)), reaches)).alias("back"),
+        F.explode(F.filter(F.sequence(F.lit(0), F.size("later")), reaches)).alias("back"),
     )
 
 
@@ -138,7 +141,7 @@ def format_windows(
     longer than the budget. Other columns are ignored; an empty table gives an empty result.
     """
     placed = _placed(_turns(conversations), budget, history)
-    parts = _parts(placed, history).select(
+    parts = _parts(placed, budget, history).select(
         *_CONV,
         (F.col("own") + F.col("back")).alias("window"),
         F.struct(

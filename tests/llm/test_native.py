@@ -38,6 +38,25 @@ def test_windows_read_back_as_the_conversation(spark, budget, history):
     assert chat.digests(chat.format_windows(df.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize("head", [3, 1400, 1530, 3000])
+def test_history_is_as_long_as_promised(spark, head):
+    """Behind a long system turn windows are short, and the history spans many of them."""
+    talk = [(1, 0, "system", "s " * head)]
+    talk += [(1, k, "assistant" if k % 2 == 0 else "user", f"t{k} " * (k % 9 + 1)) for k in range(1, 300)]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    starts = [0]
+    for *_, text in talk:
+        starts.append(starts[-1] + len(text.split()) + chat.TURN_TOKENS)
+    at = 0
+    for r in chat.format_windows(df).orderBy("window").collect():
+        back = [k for k in range(1, at) if starts[at] - starts[k] <= chat.HISTORY]
+        want = [0, *back, *range(at, at + r.n_turns)] if at else [*range(r.n_turns)]
+        read = [int(t) if t else 0 for t in re.findall(r"<\|text\|>(?:t(\d+))?", r.text)]
+        assert read == want and r.n_context == len(want) - r.n_turns
+        at += r.n_turns
+    assert at == len(talk)
+
+
 def jaccard(a, b):
     a, b = (collections.Counter((t or "").encode().split()) for t in (a, b))
     both, total = sum((a & b).values()), sum((a | b).values())
