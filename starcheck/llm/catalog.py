@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starcheck.llm import chat, fingerprints, langid, licenses, mixing, packing, quality, url_filter
+from starcheck.llm import chat, search, fingerprints, langid, licenses, mixing, packing, quality, url_filter
 from starcheck.llm.minhash import near_duplicates
 from starcheck.llm.oracle import ORACLES
 from starcheck.llm.substring_dedup import repeated_passages
@@ -80,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
@@ -91,4 +95,5 @@ QUERIES: dict[str, Query] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
 }

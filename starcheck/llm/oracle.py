@@ -1,6 +1,7 @@
 """The expected result of the operators that SQL can express, for DuckDB on small tables."""
 
 from starcheck.llm.licenses import TEMPLATES, THRESHOLD, template_bigrams
+from starcheck.llm.search import TERM, TOP
 from starcheck.llm.url_filter import LOWER, UPPER
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -70,8 +71,26 @@ SELECT doc_id, unit, CAST(number AS INT) AS number, name AS license, dice, CAST(
 WHERE dice >= {THRESHOLD * 100:g}e-2
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, name) = 1"""
 
+_TERMS = rf"regexp_extract_all(translate(coalesce({{text}}, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
+
+LEXICAL_SEARCH = rf"""WITH docs AS (SELECT doc_id, {_TERMS.format(text="text")} AS ts FROM documents),
+stats AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS big_n, sum(len(ts)) AS big_l FROM docs),
+occ AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM docs),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, stats),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS.format(text="text")}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS score
+  FROM items JOIN tf USING (term) JOIN w USING (term), stats GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id,
+  CAST(score AS BIGINT) AS score
+FROM scored WHERE score > 0 QUALIFY rank <= {TOP}"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_license_scans": LICENSE_SCANS,
     "op6_minhash_near_dedup": NEAR_DEDUP,
+    "op11_lexical_search": LEXICAL_SEARCH,
 }
