@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starcheck.llm import chat, search, fingerprints, langid, licenses, mixing, packing, quality, url_filter
+from starcheck.llm import chat, preference, search, whitening, fingerprints, langid, licenses, mixing, packing, quality, url_filter
 from starcheck.llm.minhash import near_duplicates
 from starcheck.llm.oracle import ORACLES
 from starcheck.llm.substring_dedup import repeated_passages
@@ -84,6 +84,15 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
 
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = preference.classify(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    return scored.drop("raw")
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(load(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
@@ -96,4 +105,6 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
     "op11_lexical_search": op11_lexical_search,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
