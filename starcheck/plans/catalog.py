@@ -15,6 +15,7 @@ from starcheck.plans.analyze import analyze_rows, exploded_explanations, model_a
 from starcheck.plans.training import CANDIDATES, compare
 from starcheck.schema import ORDERS
 from starcheck.session import cut, scratch_path
+from starcheck.sources import batch_answer
 from starcheck.sources.derived import requests_from_reviews, reviews_from_orders
 from starcheck.sources.requests import parse_requests, reject_batches, to_json_row
 from starcheck.sources.reviews_io import (
@@ -26,6 +27,7 @@ from starcheck.sources.reviews_io import (
 )
 from starcheck.sources.runs import append_runs, comparison_table, read_runs
 from starcheck.sources.tables import load, spread
+from starcheck.streaming import request_sinks
 from starcheck.streaming.analyze_stream import analyze_stream, reject_stream, write_duplicates, write_stream
 
 THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55]
@@ -525,6 +527,26 @@ def conversation_duplicates(spark, folder):
     return clusters
 
 
+def turn_batches(spark, folder) -> DataFrame:
+    """Conversations as request batches of one turn number each; the conversation is the index."""
+    turns = load(spark, folder, "conversations").filter("conv_id is not null and turn is not null")
+    return turns.select(
+        F.col("turn").alias("batch_id"),
+        F.col("conv_id").alias("review_index"),
+        F.concat_ws("-", "conv_id", "turn").alias("review_id"),
+        (F.col("turn") % 5 + 1).cast("int").alias("rating"),
+        "text",
+    )
+
+
+def emit_batch_json(spark, folder):
+    """The nested answer of every batch of turns, written as JSON lines in bounded parts and read back."""
+    results, clusters = analyze.analyze_batch(turn_batches(spark, folder))
+    path = scratch_path(spark, "batch-answer")
+    batch_answer.write_answer(batch_answer.answer_documents(results, clusters), path)
+    return batch_answer.read_answer(spark, path)
+
+
 def analyze_batch(spark, folder):
     """Every review of a batch with its score and its duplicate cluster."""
     rows = review_batches(spark, folder)
@@ -553,6 +575,29 @@ def stream_rejects(spark, folder):
     return spark.read.parquet(out).select("batch_id", "review_index", "reject_reason")
 
 
+def stream_request_sinks(spark, folder):
+    """Request bodies of a stream: every slot and every body lands in one of three sinks, read back."""
+    orders = spark.readStream.schema(ORDERS).parquet(f"{folder.rstrip('/')}/orders*.parquet")
+    out = scratch_path(spark, "request-sinks")
+    requests = requests_from_reviews(reviews_from_orders(orders))
+    request_sinks.write_request_sinks(requests, out, scratch_path(spark, "stream-state")).awaitTermination()
+    sinks = request_sinks.read_sinks(spark, out)
+    none = lambda kind: F.lit(None).cast(kind)
+    analysed = sinks["analysis"].select(
+        F.lit("analysis").alias("kind"), F.col("batch_id").cast("long"), F.col("review_index").cast("long"),
+        none("string").alias("reject_reason"), none("long").alias("body_chars"),
+    )
+    rows = sinks["row_rejects"].select(
+        F.lit("row_reject").alias("kind"), F.col("batch_id").cast("long"), F.col("review_index").cast("long"),
+        "reject_reason", none("long").alias("body_chars"),
+    )
+    bodies = sinks["body_rejects"].select(
+        F.lit("body_reject").alias("kind"), F.col("batch_id").cast("long"), none("long").alias("review_index"),
+        "reject_reason", F.length("body").cast("long").alias("body_chars"),
+    )
+    return analysed.unionByName(rows).unionByName(bodies)
+
+
 def stream_duplicates(spark, folder):
     """Near duplicates of the one micro-batch that the reviews arrive in."""
     orders = spark.readStream.schema(ORDERS).parquet(f"{folder.rstrip('/')}/orders*.parquet")
@@ -619,6 +664,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_analyze": stream_analyze,
     "analyze_rows_model": analyze_rows_model,
     "analyze_conversations": analyze_conversations,
+    "emit_batch_json": emit_batch_json,
+    "stream_request_sinks": stream_request_sinks,
     "conversation_duplicates": conversation_duplicates,
     "stream_rejects": stream_rejects,
     "stream_duplicates": stream_duplicates,

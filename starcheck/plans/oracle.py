@@ -7,6 +7,7 @@ and components from a recursive query. They are only meant for small data.
 
 from starcheck.functions.lexicon import NEGATIVE, POSITIVE
 from starcheck.sources import derived
+from starcheck.sources.batch_answer import ROWS_PER_PART
 
 
 def _values(items: list) -> str:
@@ -223,6 +224,13 @@ CONVERSATION_CLUSTERS = f"""placed AS (
   FROM conversations WHERE length(text) BETWEEN 1 AND 5000),
 {BATCH_CLUSTERS}"""
 
+# Conversations batched by turn number: each batch holds one turn of every conversation.
+TURN_CLUSTERS = f"""placed AS (
+  SELECT turn AS batch_id, conv_id AS review_index, conv_id || '-' || turn AS review_id,
+    CAST(turn % 5 + 1 AS INT) AS rating, text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND length(text) BETWEEN 1 AND 5000),
+{BATCH_CLUSTERS}"""
+
 CLUSTER_SUMMARY = """SELECT b AS batch_id, cluster_id, count(*) AS size, min(i) AS first_index,
   min_by(text, i) AS representative_text FROM members GROUP BY b, cluster_id"""
 
@@ -421,7 +429,28 @@ SELECT batch_id, review_index, review_id, rating, predicted_sentiment, sentiment
   reason, CASE WHEN is_flagged THEN 'lexicon_fallback' END AS explanation_method, cluster_id
 FROM scored LEFT JOIN members ON b = batch_id AND i = review_index""",
     "conversation_duplicates": f"WITH RECURSIVE {CONVERSATION_CLUSTERS} {CLUSTER_SUMMARY}",
+    "emit_batch_json": f"""WITH RECURSIVE {TURN_CLUSTERS},
+{_scored('placed')},
+res AS (
+  SELECT batch_id, review_index, is_flagged, cluster_id, CAST(floor(review_index / {ROWS_PER_PART}) AS BIGINT) AS part
+  FROM scored LEFT JOIN members ON b = batch_id AND i = review_index)
+SELECT batch_id, part, 'part' AS kind, count(*) AS n_results, count(*) FILTER (WHERE is_flagged) AS n_flagged,
+  min(review_index) AS first_index, max(review_index) AS last_index, count(DISTINCT cluster_id) AS n_clusters,
+  count(cluster_id) AS n_members, CAST(NULL AS BIGINT) AS n_parts
+FROM res GROUP BY batch_id, part
+UNION ALL
+SELECT batch_id, -1, 'manifest', count(*), NULL, NULL, NULL, count(DISTINCT cluster_id), NULL, count(DISTINCT part)
+FROM res GROUP BY batch_id""",
     "stream_duplicates": f"WITH RECURSIVE {STREAM_CLUSTERS} {CLUSTER_SUMMARY}",
+    "stream_request_sinks": f"""WITH {REQUESTS}
+SELECT CASE WHEN reject_reason IS NULL THEN 'analysis' ELSE 'row_reject' END AS kind, CAST(batch_id AS BIGINT) AS batch_id,
+  CAST(review_index AS BIGINT) AS review_index, reject_reason, CAST(NULL AS BIGINT) AS body_chars
+FROM (SELECT batch_id, review_index, {REASONS.format(more='')} AS reject_reason FROM slots)
+UNION ALL
+SELECT 'body_reject', CAST(review_id AS BIGINT), NULL,
+  CASE WHEN review_id % 97 = 0 THEN 'malformed_body' ELSE 'empty_batch' END,
+  CAST(CASE WHEN review_id % 97 = 0 THEN 9 ELSE length('{{"reviews":[]}}') END AS BIGINT)
+FROM reviews WHERE review_id % 97 = 0 OR review_id % 4 = 0""",
     "stream_rejects": f"""WITH {REQUESTS}
 SELECT batch_id, review_index, {REASONS.format(more='')} AS reject_reason FROM slots WHERE reject_reason IS NOT NULL""",
 }

@@ -27,6 +27,12 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def parsed_bodies(df: DataFrame, body: str = "body") -> DataFrame:
+    """Each body once parsed: the list `_reviews` and a reject_reason for bodies without reviews."""
+    reason = F.when(F.col("_reviews").isNull(), "malformed_body").when(F.size("_reviews") == 0, "empty_batch")
+    return once(_parsed(df, body), reject_reason=reason)
+
+
 def reject_batches(df: DataFrame, body: str = "body") -> DataFrame:
     """Bodies that are no JSON of the right form, and bodies with an empty list."""
     others = [name for name in df.columns if name != body]
