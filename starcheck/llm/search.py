@@ -5,9 +5,9 @@ integer weight w of the term and the length factor m of the document (see `impac
 0/1 vector of its distinct terms, and its score with a document is their inner product, a sum of
 integers.
 
-Only the terms of the items matter, so only their postings are made: one pass over the texts sorts
-each text's terms in the row, counts runs (tf) and keeps the pairs whose term some item holds, behind a
-broadcast of the item vocabulary whose size is checked. Documents are then ordered by the length of
+Only the terms of the items matter, so only their postings are made: one pass over the texts keeps
+the terms that some item holds, behind a broadcast of the item vocabulary whose size is checked, and
+counts them per text (tf) in a partial aggregate before the shuffle. Documents are then ordered by the length of
 their impact vector (over those terms) and cut into buckets whose lengths differ by less than a factor
 2^(1/RESOLUTION).
 
@@ -34,7 +34,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starcheck.functions.once import once
 from starcheck.llm.scratch import Scratch
 from starcheck.llm.url_filter import LOWER, UPPER
 
@@ -60,25 +59,6 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _starts(sorted_terms: str) -> Column:
-    """The positions where a sorted array of terms begins a new term."""
-    s = F.col(sorted_terms)
-    size = F.size(s)
-    return F.filter(F.sequence(F.lit(0), size), lambda i: (i < size) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-
-
-def _runs(sorted_terms: str, run_starts: str) -> Column:
-    """(term, tf) of each distinct term of a sorted array, counted in the row."""
-    s, starts = F.col(sorted_terms), F.col(run_starts)
-    size = F.size(s)
-    return F.transform(
-        starts,
-        lambda at, j: F.struct(
-            F.get(s, at).alias("term"), (F.coalesce(F.get(starts, j + 1), size) - at).cast("long").alias("tf")
-        ),
-    )
-
-
 def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, term): the distinct terms of each item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(terms(F.col("text").cast("string"))).alias("term"))
@@ -96,14 +76,18 @@ def impacts(docs: DataFrame, vocabulary: DataFrame, scratch: Scratch) -> DataFra
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.array_sort(terms(F.col("text").cast("string"))).alias("_s"),
+        terms(F.col("text").cast("string")).alias("_t"),
+    )
+    # One more element per document, without term, carries its count of terms.
+    rows = rows.select(
+        "row", "doc_id", F.size("_t").cast("long").alias("n"),
+        F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"),
     )
-    # One more pair per document, without term, carries its count of terms.
-    counted = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("_s").cast("long").alias("tf")))
-    rows = once(rows, _starts=_starts("_s"))
-    rows = rows.select("row", "doc_id", F.size("_s").cast("long").alias("n"), F.inline(F.concat(_runs("_s", "_starts"), counted)))
     rows = rows.join(_bounded(words, size), "term", "left").filter(F.col("term").isNull() | F.col("_hit"))
-    raw = scratch.write(rows.drop("_hit"), "postings_raw")
+    # Occurrences are counted where they are read: the partial aggregate leaves one row per term and text.
+    rows = rows.groupBy("row", "doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    rows = rows.withColumn("tf", F.when(F.col("term").isNull(), F.col("n")).otherwise(F.col("tf")))
+    raw = scratch.write(rows, "postings_raw")
 
     stats = raw.filter(F.col("term").isNull()).agg(
         F.count_if(F.col("tf") > 0).alias("N"), F.coalesce(F.sum("tf"), F.lit(0)).alias("L")
