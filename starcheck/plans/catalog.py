@@ -27,7 +27,7 @@ from starcheck.sources.reviews_io import (
 )
 from starcheck.sources.runs import append_runs, comparison_table, read_runs
 from starcheck.sources.tables import load, spread
-from starcheck.streaming import request_sinks
+from starcheck.streaming import request_sinks, whole_batches
 from starcheck.streaming.analyze_stream import analyze_stream, reject_stream, write_duplicates, write_stream
 
 THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55]
@@ -598,6 +598,25 @@ def stream_request_sinks(spark, folder):
     return analysed.unionByName(rows).unionByName(bodies)
 
 
+def stream_whole_batches(spark, folder):
+    """Review batches whose rows come in two rounds of files; each is clustered once it is whole."""
+    rows = review_batches(spark, folder)
+    sizes = rows.groupBy("batch_id").agg(F.count("*").alias("batch_size"))
+    staged = rows.join(sizes, "batch_id").select("batch_id", "review_index", "review_id", "rating", "text", "batch_size")
+    source_path = scratch_path(spark, "whole-batches-in")
+    sent = F.current_timestamp().alias("sent")
+    staged.filter(F.col("review_id") % 2 == 0).select("*", sent).write.parquet(source_path)
+    first_round = len(spark.read.parquet(source_path).inputFiles())
+    staged.filter(F.col("review_id") % 2 != 0).select("*", sent).write.mode("append").parquet(source_path)
+    # The files of each round make one micro-batch, so that every batch spans two of them.
+    schema = spark.read.parquet(source_path).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", first_round).parquet(source_path)
+    out = scratch_path(spark, "whole-batches")
+    whole_batches.write_whole_batches(spark, source, source_path, out, scratch_path(spark, "stream-state")).awaitTermination()
+    found = spark.read.parquet(f"{out}/micro_batch=*")
+    return found.select("batch_id", "cluster_id", "size", "first_index", "representative_text")
+
+
 def stream_duplicates(spark, folder):
     """Near duplicates of the one micro-batch that the reviews arrive in."""
     orders = spark.readStream.schema(ORDERS).parquet(f"{folder.rstrip('/')}/orders*.parquet")
@@ -666,6 +685,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analyze_conversations": analyze_conversations,
     "emit_batch_json": emit_batch_json,
     "stream_request_sinks": stream_request_sinks,
+    "stream_whole_batches": stream_whole_batches,
     "conversation_duplicates": conversation_duplicates,
     "stream_rejects": stream_rejects,
     "stream_duplicates": stream_duplicates,

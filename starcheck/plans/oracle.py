@@ -442,6 +442,7 @@ UNION ALL
 SELECT batch_id, -1, 'manifest', count(*), NULL, NULL, NULL, count(DISTINCT cluster_id), NULL, count(DISTINCT part)
 FROM res GROUP BY batch_id""",
     "stream_duplicates": f"WITH RECURSIVE {STREAM_CLUSTERS} {CLUSTER_SUMMARY}",
+    "stream_whole_batches": f"WITH RECURSIVE {REVIEW_CLUSTERS} {CLUSTER_SUMMARY}",
     "stream_request_sinks": f"""WITH {REQUESTS}
 SELECT CASE WHEN reject_reason IS NULL THEN 'analysis' ELSE 'row_reject' END AS kind, CAST(batch_id AS BIGINT) AS batch_id,
   CAST(review_index AS BIGINT) AS review_index, reject_reason, CAST(NULL AS BIGINT) AS body_chars
