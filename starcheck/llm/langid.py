@@ -4,6 +4,11 @@ The frequent n-grams of all languages share one Bloom filter in bit-sliced form:
 bit per language, so the bitwise "and" of a few slots says at once which languages have an n-gram.
 The bits are counted per language over a whole text. A language whose filter is fuller has more false
 positives; its count is corrected for them. The largest corrected share decides.
+
+Memory is bounded for any text length: a text longer than PIECE code points is cut at a blank into pieces,
+and pieces are hashed in chunks of at most CHUNK code points, whose counts are added up per text. An n-gram
+holds a gap only at its ends, so a cut behind a blank changes no n-gram; only a run of PIECE signs without
+a blank is cut between two signs, which changes at most 2 (N - 1) of its n-grams.
 """
 
 from __future__ import annotations
@@ -25,6 +30,11 @@ N = 4
 MIN_SHARE = 2e-5
 HASHES = 4
 SLOTS_PER_GRAM = 12
+#: Longest piece of a text, and most code points hashed at once (about 45 bytes each).
+PIECE = 1 << 18
+CHUNK = 1 << 20
+#: Counts of one task are merged when they hold more n-grams than this.
+MERGE_AT = 4_000_000
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
@@ -58,6 +68,46 @@ def ngrams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.
     return keys[within], owner[1 : 1 + len(keys)][within], letters
 
 
+def _pieces(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Texts cut into pieces of at most PIECE code points, behind a blank where there is one."""
+    parts, owners = [], []
+    for i, text in enumerate(texts):
+        text = text or ""
+        start = 0
+        while len(text) - start > PIECE:
+            end = start + PIECE
+            blank = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end))
+            cut = blank + 1 if blank >= 0 else end
+            parts.append(text[start:cut])
+            owners.append(i)
+            start = cut
+        parts.append(text[start:])
+        owners.append(i)
+    return parts, np.array(owners, np.int64)
+
+
+def ngram_chunks(texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ngrams() of the texts, CHUNK code points at a time; owners and letters refer to `texts`."""
+    parts, owners = _pieces(texts)
+    rows = len(texts)
+    group: list[int] = []
+    size = 0
+    for k, part in enumerate([*parts, None]):
+        if group and (part is None or size + len(part) > CHUNK):
+            keys, own, letters = ngrams([parts[j] for j in group], n)
+            mine = owners[group]
+            yield keys, mine[own], np.bincount(mine, letters, rows).astype(np.int64)
+            group, size = [], 0
+        if part is not None:
+            group.append(k)
+            size += len(part)
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    codes, unique = pd.factorize(np.concatenate([u for u, _ in parts]))
+    return [(unique, np.bincount(codes, np.concatenate([c for _, c in parts]), len(unique)).astype(np.int64))]
+
+
 def _counts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -65,12 +115,13 @@ def _counts(n: int):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in set(langs):
-                keys, _, _ = ngrams([texts[i] for i in np.flatnonzero(langs == lang)], n)
-                codes, unique = pd.factorize(keys)
-                found.setdefault(lang, []).append((unique, np.bincount(codes)))
+                for keys, _, _ in ngram_chunks([texts[i] for i in np.flatnonzero(langs == lang)], n):
+                    codes, unique = pd.factorize(keys)
+                    found.setdefault(lang, []).append((unique, np.bincount(codes)))
+                if sum(len(u) for u, _ in found[lang]) > MERGE_AT:
+                    found[lang] = _merge(found[lang])
         for lang, parts in found.items():
-            codes, unique = pd.factorize(np.concatenate([u for u, _ in parts]))
-            total = np.bincount(codes, np.concatenate([c for _, c in parts]), len(unique))
+            ((unique, total),) = _merge(parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * len(unique), pa.string()),
@@ -127,11 +178,17 @@ def predictor(model: Filter, spark: SparkSession, *, n: int = N) -> Callable[[Co
 
     def of(texts: list[str | None], found: Filter) -> pd.DataFrame:
         rows = len(texts)
-        keys, owner, letters = ngrams(texts, n)
-        total = np.maximum(np.bincount(owner, minlength=rows)[:rows], 1)
+        total, letters = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        counts = np.zeros((rows, len(found.langs)), np.int64)
+        for keys, owner, some in ngram_chunks(texts, n):
+            total += np.bincount(owner, minlength=rows)[:rows]
+            letters += some
+            if found.langs:
+                counts += found.counts(keys, owner, rows)
+        total = np.maximum(total, 1)
         lang, score = np.full(rows, UNKNOWN, object), np.zeros(rows)
         if found.langs:
-            share = found.counts(keys, owner, rows) / total[:, None]
+            share = counts / total[:, None]
             share = np.clip((share - found.false) / (1 - found.false), 0, 1)
             best = share.argmax(1)
             known = letters > 0

@@ -119,3 +119,35 @@ def test_both_libraries_give_the_same_tokens(rows):
     odd = ["<|endoftext|> a", "\u3000 x\r\n\t y", "\u0661\u00b2 \U0001f600's don't", " " * 60_000 + "a", "z" * 50_000]
     for text in [*odd, *(t for _, t, *_ in rows if t)]:
         assert fast.of(text).tolist() == slow.of(text).tolist()
+
+
+def test_pieces_count_as_whole_texts(monkeypatch):
+    """Cut behind blanks and hashed in chunks, texts give the n-grams and letters of whole texts."""
+    import collections
+    import random
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdéxyzQ") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 20000))) + end for end in ("", ".", " x", "\n")]
+    texts += [None, "--", "Ab cd", ""]
+    keys, owner, letters = langid.ngrams(texts, 4)
+    monkeypatch.setattr(langid, "PIECE", 500)
+    monkeypatch.setattr(langid, "CHUNK", 2000)
+    got, got_letters = collections.Counter(), np.zeros(len(texts), np.int64)
+    for k, o, some in langid.ngram_chunks(texts, 4):
+        got.update(zip(k.tolist(), o.tolist()))
+        got_letters += some
+    assert got == collections.Counter(zip(keys.tolist(), owner.tolist()))
+    assert (got_letters == letters).all()
+
+
+def test_a_text_of_20_mb_stays_under_400_mb():
+    import tracemalloc
+
+    text = ("lorem ipsum dolor sit amet " * 800_000)[: 20 << 20]
+    tracemalloc.start()
+    found = sum(len(k) for k, _, _ in langid.ngram_chunks([text], 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 10_000_000
+    assert peak < 400 << 20
