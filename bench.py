@@ -24,8 +24,11 @@ HEADLINE = [
     "dbscan_labels",
     "duplicate_clusters",
     "embedding_clusters",
+    "train_logreg",
     "model_roundtrip",
     "stream_analyze",
+    "emit_batch_json",
+    "stream_request_sinks",
 ]
 
 
