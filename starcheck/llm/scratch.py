@@ -1,40 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from pyspark.sql import DataFrame, SparkSession
+from starcheck.session import CLEAN_UP, Scratch
 
-from starcheck.session import scratch_path
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scratch:
-    """Parquet tables under spark.checkpoint.dir; they outlive lost executors and cut the lineage.
-
-    The shuffle files behind a table go when it is written, and an operator drops each table as soon
-    as nothing reads it any more. The table behind a returned DataFrame stays, as checkpoints do, until
-    the folder is cleaned.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = scratch_path(spark, name)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        before = self.spark.conf.get(CLEAN_UP, None)
-        self.spark.conf.set(CLEAN_UP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEAN_UP)
-            else:
-                self.spark.conf.set(CLEAN_UP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["CLEAN_UP", "Scratch"]

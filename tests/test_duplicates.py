@@ -151,6 +151,21 @@ def test_a_group_of_copies_may_hold_most_rows(spark):
     assert members.filter("review_index % 3 > 0").count() == 2000
 
 
+def test_a_large_group_gives_few_links(spark):
+    """Near copies in several blocks, each with a word of its own: links grow with the texts, not with their pairs."""
+    from starcheck.operators.text_links import distinct_items, signatures, term_vectors, text_links
+    from starcheck.session import Scratch
+
+    common = " ".join(f"word{k}" for k in range(40))
+    docs = batch(spark, [f"{common} own{i}x" for i in range(200)] + ["nothing like it", "another word0"])
+    scratch = Scratch(spark, "test-links")
+    items = scratch.write(distinct_items(signatures(docs)), "items")
+    links = text_links(term_vectors(docs, items, scratch), items, 0.3, 2, scratch, block=32)
+    assert links.select("a", "c").distinct().count() == links.count() < 3000
+    members = text_clusters(docs, 0.3, block=32)
+    assert labels_of(members, 202) == [0] * 200 + [-1, -1]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(0, i, i + 1) for i in range(60)]
