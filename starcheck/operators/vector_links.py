@@ -4,7 +4,8 @@ Vectors are put into cells around a bounded number of pivots. Angles obey the tr
 inequality, so two cells whose pivots are further apart than the search angle plus both radii
 hold no pair and are never compared. The other cell pairs are multiplied block by block on the
 executors. A block never gives out its pairs: it gives a neighbour count per vector, and a tree of
-links that connects the same cores as all pairs would.
+links that connects the same cores as all pairs would. Blocks are large and multiplied in pieces, so a
+vector is sent to about as many tasks as there are cells, however many vectors there are.
 """
 
 import math
@@ -19,8 +20,11 @@ from starcheck.operators.skew import lookup_join
 from starcheck.operators.tfidf import BATCH, INDEX, ITEM
 from starcheck.session import cut
 
-PIVOTS = 64
-BLOCK = 1024
+PIVOTS = 32
+# Vectors of a block, at most so many numbers, and of a piece of it.
+BLOCK = 32_768
+BLOCK_NUMBERS = 4_000_000
+PIECE = 1024
 SLACK = 1e-9
 CELL = [BATCH, "cell"]
 BLOCK_KEY = [BATCH, "cell_a", "part_a", "cell_b", "part_b"]
@@ -112,15 +116,23 @@ def _blocks(spark: SparkSession, placed: DataFrame, pivots: np.ndarray, eps: flo
     return side_a.select(*columns).unionByName(side_b.select(*columns)).filter(once)
 
 
-def _near(rows: pd.DataFrame, eps: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Both sides of a block and which of their rows are neighbours; an item is not its own."""
-    a, b = rows[rows["side"] == "a"], rows[rows["side"] == "b"]
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    a, b = (rows[rows["side"] == side].sort_values(INDEX, ignore_index=True) for side in ("a", "b"))
+    return a, b
+
+
+def _near_pieces(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Which rows of the two sides of a block are neighbours, piece by piece; an item is not its own."""
     if a.empty or b.empty:
-        return a, b, np.zeros((len(a), len(b)), dtype=bool)
-    distance = 1.0 - _unit_rows(a["vector"]) @ _unit_rows(b["vector"]).T
-    near = distance <= eps
-    near &= a[INDEX].to_numpy()[:, None] != b[INDEX].to_numpy()[None, :]
-    return a, b, near
+        return
+    a_unit, b_unit = _unit_rows(a["vector"]), _unit_rows(b["vector"])
+    a_id, b_id = a[INDEX].to_numpy(), b[INDEX].to_numpy()
+    for i in range(0, len(a), PIECE):
+        for j in range(0, len(b), PIECE):
+            ours, theirs = slice(i, min(i + PIECE, len(a))), slice(j, min(j + PIECE, len(b)))
+            near = 1.0 - a_unit[ours] @ b_unit[theirs].T <= eps
+            near &= a_id[ours][:, None] != b_id[theirs][None, :]
+            yield ours, theirs, near
 
 
 def _same_block(rows: pd.DataFrame) -> bool:
@@ -130,10 +142,17 @@ def _same_block(rows: pd.DataFrame) -> bool:
 
 def _count_block(eps: float):
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, near = _near(rows, eps)
-        parts = [(a, near @ b["copies"].to_numpy())]
-        if not _same_block(rows):
-            parts.append((b, near.T @ a["copies"].to_numpy()))
+        a, b = _sides(rows)
+        a_copies, b_copies = a["copies"].to_numpy(), b["copies"].to_numpy()
+        a_near, b_near = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        same = _same_block(rows)
+        for ours, theirs, near in _near_pieces(a, b, eps):
+            # Doubles multiply fast and hold these sums of whole numbers exactly.
+            counted = near.astype(np.float64)
+            a_near[ours] += (counted @ b_copies[theirs]).astype(np.int64)
+            if not same:
+                b_near[theirs] += (a_copies[ours] @ counted).astype(np.int64)
+        parts = [(a, a_near)] if same else [(a, a_near), (b, b_near)]
         return pd.concat(
             [side[ITEM].assign(near=found) for side, found in parts], ignore_index=True
         )
@@ -143,36 +162,59 @@ def _count_block(eps: float):
 
 def _link_block(eps: float):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, near = _near(rows, eps)
+        a, b = _sides(rows)
+        same = _same_block(rows)
         a_core, b_core = a["is_core"].to_numpy(), b["is_core"].to_numpy()
         a_id, b_id = a[INDEX].to_numpy(), b[INDEX].to_numpy()
-        parts = [_forest(near & a_core[:, None] & b_core[None, :], a_id, b_id)]
-        for i, j in zip(*np.nonzero(near & ~a_core[:, None] & b_core[None, :])):
-            parts.append([(a_id[i], b_id[j], False)])
-        if not _same_block(rows):
-            for i, j in zip(*np.nonzero(near & a_core[:, None] & ~b_core[None, :])):
-                parts.append([(b_id[j], a_id[i], False)])
-        found = [row for part in parts for row in part]
+        # Places of both sides; within a block the sides are the same rows in the same order.
+        shift = 0 if same else len(a)
+        ids = a_id if same else np.concatenate([a_id, b_id])
+        root = np.arange(len(ids))
+        found = []
+        for ours, theirs, near in _near_pieces(a, b, eps):
+            u, v = np.arange(ours.start, ours.stop), np.arange(theirs.start, theirs.stop) + shift
+            a_cores, b_cores = a_core[ours][:, None], b_core[theirs][None, :]
+            open_pairs = near & a_cores & b_cores & (root[u][:, None] != root[v][None, :])
+            joined: dict[int, int] = {}
+            for x, y in _forest(open_pairs, u, v):
+                x_root, y_root = _find(joined, int(root[x])), _find(joined, int(root[y]))
+                if x_root != y_root:
+                    joined[max(x_root, y_root)] = min(x_root, y_root)
+                    found.append((ids[x], ids[y], True))
+            if joined:
+                moved = np.arange(len(root))
+                moved[list(joined)] = [_find(joined, x) for x in list(joined)]
+                root = moved[root]
+            for i, j in zip(*np.nonzero(near & ~a_cores & b_cores)):
+                found.append((ids[u[i]], ids[v[j]], False))
+            if not same:
+                for i, j in zip(*np.nonzero(near & a_cores & ~b_cores)):
+                    found.append((ids[v[j]], ids[u[i]], False))
         out = pd.DataFrame(found, columns=[INDEX, "other", "both_cores"])
         return out.assign(**{BATCH: rows[BATCH].iloc[0]})
 
     return link
 
 
-def _forest(near: np.ndarray, a_id: np.ndarray, b_id: np.ndarray) -> list[tuple]:
-    """Each node of the block with the smallest node it is connected to inside the block."""
-    a_root, b_root = a_id.copy(), b_id.copy()
+def _find(joined: dict[int, int], x: int) -> int:
+    while joined.get(x, x) != x:
+        joined[x] = x = joined.get(joined[x], joined[x])
+    return x
+
+
+def _forest(near: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Each place of a piece with the smallest place it is connected to inside the piece."""
+    u_root, v_root = u.copy(), v.copy()
     none = np.iinfo(np.int64).max
     changed = near.any()
     while changed:
-        from_b = np.where(near, b_root[None, :], none).min(axis=1)
-        new_a = np.minimum(a_root, from_b)
-        from_a = np.where(near, new_a[:, None], none).min(axis=0)
-        new_b = np.minimum(b_root, from_a)
-        changed = (new_a != a_root).any() or (new_b != b_root).any()
-        a_root, b_root = new_a, new_b
-    edges = [(i, r, True) for i, r in zip(a_id, a_root) if i != r]
-    return edges + [(i, r, True) for i, r in zip(b_id, b_root) if i != r]
+        from_v = np.where(near, v_root[None, :], none).min(axis=1)
+        new_u = np.minimum(u_root, from_v)
+        from_u = np.where(near, new_u[:, None], none).min(axis=0)
+        new_v = np.minimum(v_root, from_u)
+        changed = (new_u != u_root).any() or (new_v != v_root).any()
+        u_root, v_root = new_u, new_v
+    return [(i, r) for side, roots in ((u, u_root), (v, v_root)) for i, r in zip(side, roots) if i != r]
 
 
 class VectorNeighbours:
@@ -181,12 +223,13 @@ class VectorNeighbours:
     def __init__(self, items: DataFrame, eps: float, pivots: int = PIVOTS, block: int = BLOCK):
         if not 0 <= eps < 1:
             raise ValueError("eps must be in [0, 1)")
-        self.spark, self.eps, self.block = items.sparkSession, eps, block
+        self.spark, self.eps = items.sparkSession, eps
         items = items.select(*ITEM, "copies", F.col("signature").alias("vector"))
-        # One pivot per half block, up to a fixed number; chosen by hash.
-        wanted = min(pivots, max(1, 2 * items.count() // block))
+        # One pivot per half piece or half block, up to a fixed number; chosen by hash.
+        wanted = min(pivots, max(1, 2 * items.count() // min(block, PIECE)))
         chosen = items.orderBy(F.xxhash64(*ITEM), *ITEM).limit(wanted).select("vector").toPandas()
         self.pivots = _unit_rows(chosen["vector"]) if len(chosen) else np.zeros((1, 1))
+        self.block = min(block, max(PIECE, BLOCK_NUMBERS // self.pivots.shape[1]))
         self.placed = cut(_with_cells(items, self.pivots))
 
     def counts(self) -> DataFrame:

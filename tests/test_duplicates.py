@@ -160,9 +160,9 @@ def test_a_large_group_gives_few_links(spark):
     docs = batch(spark, [f"{common} own{i}x" for i in range(200)] + ["nothing like it", "another word0"])
     scratch = Scratch(spark, "test-links")
     items = scratch.write(distinct_items(signatures(docs)), "items")
-    links = text_links(term_vectors(docs, items, scratch), items, 0.3, 2, scratch, block=32)
+    links = text_links(term_vectors(docs, items, scratch), items, 0.5, 2, scratch, block=32)
     assert links.select("a", "c").distinct().count() == links.count() < 3000
-    members = text_clusters(docs, 0.3, block=32)
+    members = text_clusters(docs, 0.5, block=32)
     assert labels_of(members, 202) == [0] * 200 + [-1, -1]
 
 
