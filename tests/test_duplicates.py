@@ -244,3 +244,34 @@ def test_hub_of_many_edges_leaves_no_large_task(spark):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert sum(sizes) == 300_000 and max(sizes) < 150_000
+
+
+def test_a_small_batch_is_clustered_in_its_task(spark):
+    """Weights, links and clusters of small batches come out as with every batch in blocks."""
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(160):
+        text = [draw.choice(words) for _ in range(draw.randrange(9))]
+        if rows and draw.random() < 0.6:
+            text = (draw.choice(rows)[2] or "").split()
+            if text and draw.random() < 0.5:
+                text[draw.randrange(len(text))] = draw.choice(words)
+        rows.append((k % 7, k, " ".join(text)))
+    rows += [(3, None, "w1 w2 w3"), (None, 5, "w1 w2 w3"), (9, 1, None), (9, 2, "")]
+    docs = spark.createDataFrame(rows, "batch_id long, review_index long, text string")
+    seen = []
+    from starcheck.operators import duplicates
+
+    before = duplicates.text_links
+    duplicates.text_links = lambda *args: seen.append(1) or before(*args)
+    try:
+        for eps, min_samples in [(0.4, 2), (0.5, 3)]:
+            seen.clear()
+            in_task = {tuple(r) for r in duplicates.text_clusters(docs, eps, min_samples).collect()}
+            assert not seen
+            in_blocks = {tuple(r) for r in duplicates.text_clusters(docs, eps, min_samples, block=16).collect()}
+            assert seen
+            assert in_task == in_blocks and len(in_task) > 20
+    finally:
+        duplicates.text_links = before
