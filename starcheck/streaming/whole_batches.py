@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from starcheck.operators.duplicates import EPS, MIN_SAMPLES, cluster_summary, text_clusters
+from starcheck.session import cut
 
 #: An incomplete batch is closed this long after its last row was sent.
 HOLD = "10 minutes"
@@ -88,7 +89,8 @@ def write_whole_batches(
         if done.isEmpty():
             return
         rows = spark.read.schema(schema).parquet(input_path).join(done, "batch_id")
-        docs = rows.select("batch_id", "review_index", "text")
+        # Clustering reads the rows several times; they are looked up once.
+        docs = cut(rows.select("batch_id", "review_index", "text"))
         summary = cluster_summary(text_clusters(docs, eps, min_samples), docs)
         summary.join(done, "batch_id").write.mode("overwrite").parquet(f"{path}/micro_batch={batch_no}")
 
