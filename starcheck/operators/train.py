@@ -34,14 +34,16 @@ def train_classifier(
     min_texts: int = MIN_TEXTS,
     inverse_regularisation: float = INVERSE_REGULARISATION,
     max_iterations: int = MAX_ITERATIONS,
+    features: PipelineModel | None = None,
 ) -> PipelineModel:
     """Multinomial logistic regression with balanced classes over TF-IDF features.
 
     `df` has text and label. The penalty is scaled to the sum of the weights, which is the number
     of rows when the classes are balanced. Equal rows are merged into one with their summed
-    weight, which leaves the loss as it is and saves every iteration from reading copies.
+    weight, which leaves the loss as it is and saves every iteration from reading copies. `features` are
+    those of fit_features() on the same rows and terms, if there are any yet.
     """
-    features = fit_features(df, max_terms, min_texts)
+    features = features or fit_features(df, max_terms, min_texts)
     # One row per class.
     weights = F.broadcast(class_weights(df).select("label", "weight"))
     # Texts meet by a digest, so that whole texts are not shuffled as keys.

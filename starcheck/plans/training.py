@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from starcheck.operators.clean import load_and_clean
 from starcheck.operators.evaluate import metrics, stratified_split
+from starcheck.operators.features import MAX_TERMS, MIN_TEXTS, fit_features
 from starcheck.operators.train import predict, train_classifier
 from starcheck.session import cut
 from starcheck.sources.runs import comparison_table, log_run, read_runs
@@ -51,8 +52,13 @@ def compare(
 ) -> DataFrame:
     """Fit every candidate on the same rows, log each run, and return the comparison table."""
     spark = train.sparkSession
+    features = {}
     for name, settings in candidates.items():
-        model = train_classifier(train, **settings)
+        # Candidates with the same terms share their features.
+        wanted = settings.get("max_terms", MAX_TERMS), settings.get("min_texts", MIN_TEXTS)
+        if wanted not in features:
+            features[wanted] = fit_features(train, *wanted)
+        model = train_classifier(train, **settings, features=features[wanted])
         found = metrics(predict(test, model)).first()
         log_run(
             spark,

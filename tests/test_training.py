@@ -118,3 +118,21 @@ def test_train_and_compare(spark, tmp_path):
     ).collect()
     assert {r.run for r in table} == {"all", "few"}
     assert table[0].f1_macro >= table[1].f1_macro and all(r.latency_ms > 0 for r in table)
+
+
+def test_candidates_share_features(spark, tmp_path, monkeypatch):
+    """Terms are counted once for all candidates that use the same ones."""
+    from starcheck.plans import training
+
+    fitted = []
+    before = training.fit_features
+    monkeypatch.setattr(training, "fit_features", lambda df, *wanted: fitted.append(wanted) or before(df, *wanted))
+    words = ["good", "bad", "plain"]
+    rows = [(k, f"{words[k % 3]} thing {k % 4}", k % 3) for k in range(24)]
+    df = spark.createDataFrame(rows, "review_id long, text string, label int")
+    tight = {"inverse_regularisation": 0.01}
+    candidates = {"a": {}, "b": {"max_terms": 5}, "c": tight}
+    candidates = {name: {**settings, "max_iterations": 2} for name, settings in candidates.items()}
+    table = training.compare(df, df, str(tmp_path / "runs"), "x", candidates)
+    assert {r["run"] for r in table.collect()} == {"a", "b", "c"}
+    assert fitted == [(20_000, 2), (5, 2)]
