@@ -136,3 +136,25 @@ def test_candidates_share_features(spark, tmp_path, monkeypatch):
     table = training.compare(df, df, str(tmp_path / "runs"), "x", candidates)
     assert {r["run"] for r in table.collect()} == {"a", "b", "c"}
     assert fitted == [(20_000, 2), (5, 2)]
+
+
+def test_candidates_are_trained_to_the_end(spark, tmp_path, monkeypatch):
+    """No candidate of the query stops before the iterations that train_classifier() has by default."""
+    from starcheck.plans import catalog, training
+
+    docs = [(k, f"{['good', 'bad', 'plain'][k % 3]} thing {['old', 'new', 'big', 'red'][k % 4]}") for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, int(k % 3 > 0), int(k % 3 == 1)) for k in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    limits = []
+    before = training.train_classifier
+
+    def train_and_look(*args, **settings):
+        model = before(*args, **settings)
+        limits.append(model.stages[-1].getMaxIter())
+        return model
+
+    monkeypatch.setattr(training, "train_classifier", train_and_look)
+    table = catalog.train_and_compare_models(spark, str(tmp_path)).collect()
+    assert len(table) == 3 and all(r["is_sound"] and r["texts"] == 12 for r in table)
+    assert limits == [train.MAX_ITERATIONS] * 3
